@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, secrets
+from brindle.llm import decontamination, exact_dedup, packing, secrets, token_output
 
 
 def queries() -> dict:
     return {
+        "op5_packing": packing.op5_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_decontamination": decontamination.op8_decontamination,
+        "op9_token_output": token_output.op9_token_output,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op10_secret_scan": secrets.OP10_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_decontamination": decontamination.OP8_SQL, "op10_secret_scan": secrets.OP10_SQL}
