@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from brindle.llm import decontamination, exact_dedup, packing, secrets, token_output
+from brindle.llm import decontamination, exact_dedup, packing, quality, secrets, token_output, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op5_packing": packing.op5_packing,
+        "op6_quality": quality.op6_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_token_output": token_output.op9_token_output,
