@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brindle.llm import decontamination, exact_dedup, near_dedup, packing, quality, secrets, suffix_tree_lm, token_output, toxicity
+from brindle.llm import decontamination, exact_dedup, near_dedup, packing, quality, secrets, suffix_dedup, suffix_tree_lm, token_output, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_suffix_tree": suffix_tree_lm.op4_suffix_tree,
         "op5_packing": packing.op5_packing,
         "op6_quality": quality.op6_quality,
