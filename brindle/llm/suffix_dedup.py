@@ -295,9 +295,7 @@ def removed_runs(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
     several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("hash")
     wanted = kinds.join(several, "hash").select(F.col("one.digest").alias("digest"), F.struct("hash", F.col("one.digest").alias("digest"), F.col("one.first").alias("first"), F.col("one.last").alias("last"), (F.col("n") == 1).alias("alone")).alias("w"))
     wanted = shared.written(wanted.groupBy("digest").agg(F.collect_list("w").alias("wanted")), f"{at}/wanted")  # of one text
-    total = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)), F.count(F.lit(1))).first()
-    small = F.broadcast(wanted) if total[0] * 100 + total[1] * 60 <= shared.BROADCAST_BYTES else wanted
-    texts = rows.join(small, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    texts = rows.join(wanted, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     contexts = texts.select("text", "wanted").mapInArrow(_cut, "hash long, digest binary, first long, alone boolean, context binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_runs = contexts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_sorted_contexts, "digest binary, begin long, end long")
@@ -311,9 +309,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     digest = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
     removed = removed_runs(spark, docs.select(digest.alias("digest"), text.alias("text")), at)
     spans = shared.written(removed.groupBy("digest").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), f"{at}/spans")  # of one text
-    total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)), F.count(F.lit(1))).first()
-    small = F.broadcast(spans) if total[0] * 40 + total[1] * 60 <= shared.BROADCAST_BYTES else spans
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), text.alias("text")).join(small, "digest", "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), text.alias("text")).join(spans, "digest", "left").select("doc_id", "text", "spans")
 
     def result(frames):
         import pyarrow as pa
