@@ -5,11 +5,173 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import names, values
+from brindle.operators import scan, spans
+from brindle.plans import reports
+from brindle.sources import files, signatures
+from brindle.streaming import watch
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_assignments(spark, sf_dir):
+    return scan.assignments(_read(spark, sf_dir, "documents"))
+
+
+def scan_documents(spark, sf_dir):
+    return scan.assignment_findings(document_assignments(spark, sf_dir)).drop("value")
+
+
+def scan_summary(spark, sf_dir):
+    return reports.summary(scan_documents(spark, sf_dir))
+
+
+def findings_rollup(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return scan_documents(spark, sf_dir).join(docs, "id").rollup("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_cards(spark, sf_dir):
+    return scan.cards(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def page_cards(spark, sf_dir):
+    return scan.cards(_read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def document_signatures(spark, sf_dir):
+    return spans.signature_hits(_read(spark, sf_dir, "documents"), "doc_id", "text").select("id", "ordinal")
+
+
+def page_attributes(spark, sf_dir):
+    found = _read(spark, sf_dir, "pages").select("page_id", F.explode(spans.matches(F.col("html"), ATTRIBUTE)).alias("m"))
+    return found.select("page_id", F.lower(F.regexp_extract("m.match", ATTRIBUTE, 1)).alias("name"), F.regexp_extract("m.match", ATTRIBUTE, 2).alias("value"), F.col("m.start").alias("start"))
+
+
+def page_urls(spark, sf_dir):
+    part = lambda i: F.regexp_extract("url", URL, i)
+    return _read(spark, sf_dir, "pages").select("page_id", F.lower(part(1)).alias("scheme"), part(2).alias("userinfo"), F.lower(part(3)).alias("host"), part(4).alias("query"))
+
+
+def value_shapes(spark, sf_dir):
+    words = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n\r\f]+")).alias("word")).where("word <> ''").select(values.normalized(F.col("word")).alias("word")).distinct()
+    return words.select("word", *values.shapes(F.col("word"))).where(" OR ".join(values.SHAPES))
+
+
+def value_entropy(spark, sf_dir):
+    value = values.normalized(F.col("value"))
+    return document_assignments(spark, sf_dir).select(value.alias("value")).distinct().select("value", F.round(values.entropy(F.col("value")), 6).alias("bits"), values.alphabet_size(F.col("value")).cast("long").alias("alphabet"))
+
+
+def name_words(spark, sf_dir):
+    words = names.name_words(F.col("p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(words, " ").alias("words"), F.coalesce(names.name_kind(words), F.lit("none")).alias("kind"))
+
+
+def event_bursts(spark, sf_dir):
+    found = watch.debounced(_read(spark, sf_dir, "events"), "user_id", "ts", "5 minutes")
+    return found.select("user_id", F.unix_micros(F.col("first").cast("timestamp")).alias("first"), F.unix_micros(F.col("last").cast("timestamp")).alias("last"), "n")
+
+
+def event_properties(spark, sf_dir):
+    return _read(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unlisted_documents(spark, sf_dir):
+    listed = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return _read(spark, sf_dir, "documents").join(listed, "doc_id", "left_anti").select("doc_id", "source")
+
+
+def git_blob_ids(spark, sf_dir):
+    raw = F.col("text").cast("binary")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length(raw).cast("string")).cast("binary"), F.unhex(F.lit("00")), raw)).alias("oid"))
+
+
+def line_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.array_max(F.transform(F.split("text", "\n"), F.char_length)).cast("long").alias("longest"))
+
+
+def url_file_types(spark, sf_dir):
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/[^?#]*)", 1)
+    return _read(spark, sf_dir, "pages").select("page_id", F.coalesce(files.file_type(path), F.lit("none")).alias("file_type"), F.coalesce(files.skip_reason(path), F.lit("none")).alias("skipped"))
+
+
+ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*)[ \t\n]*=[ \t\n]*["']([^"']*)["']"""
+URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)[^?#]*(?:\?([^#]*))?"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = (
+        scan_documents, document_assignments, scan_summary, findings_rollup, document_cards, page_cards, document_signatures, page_attributes, page_urls, value_shapes,
+        value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types,
+    )
+    return {f.__name__: f for f in found}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches_sql(table: str, key: str, text: str, pattern: str) -> str:
+    """Rows (id, text, match, start) of all matches."""
+    p = _q(pattern)
+    sums = "coalesce(list_sum(list_transform({0}[1:{1}], lambda z: length(z))), 0)"
+    return f"""(SELECT id, text, m[i] AS match, CAST({sums.format("g", "i")} + {sums.format("m", "i - 1")} AS INTEGER) AS start
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key} AS id, {text} AS text, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS g FROM {table})))"""
+
+
+def _normal_sql(value: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"translate(regexp_replace({value}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '{upper}', '{upper.lower()}')"
+
+
+def _entropy_sql(v: str) -> str:
+    chars = f"list_filter(string_split({v}, ''), lambda c: c <> '')"
+    share = f"(len(list_filter({chars}, lambda d: d = c)) / len({chars}))"
+    return f"coalesce(list_sum(list_transform(list_sort(list_distinct({chars})), lambda c: -{share} * log2({share}))), 0.0)"
+
+
+def _alphabet_sql(v: str) -> str:
+    return f"(CASE WHEN regexp_matches({v}, '[a-z]') THEN 26 ELSE 0 END + CASE WHEN regexp_matches({v}, '[0-9]') THEN 10 ELSE 0 END + len(list_distinct(list_filter(string_split({v}, ''), lambda c: c <> '' AND NOT regexp_matches(c, '[0-9a-z]')))))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    parts = _q(scan._PARTS)
+    before = "substr(text, 1, start)"
+    assigned = f"""SELECT id, regexp_extract(match, {parts}, 1) AS name, regexp_extract(match, {parts}, 2) AS value, start, CAST(length(match) AS INTEGER) AS length,
+      CAST(length({before}) - length(replace({before}, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(string_split({before}, chr(10))[-1]) + 1 AS INTEGER) AS "column"
+      FROM {_matches_sql("documents", "doc_id", "text", scan.ASSIGNMENT)}"""
+    out = " OR ".join(f"regexp_matches(v, {_q(p)})" for n, p in values.SHAPES.items() if n != "pure_hex")
+    enough = f"""(regexp_matches(v, {_q(values.SHAPES["pure_hex"])}) OR (length(v) >= 8 AND bits * length(v) >= 40 AND (bits >= 3.5 OR bits / log2(greatest({_alphabet_sql("v")}, 2)) >= 0.85)))"""
+    findings = f"""SELECT id, name, kind, start, line, "column", 'secret-assignment' AS rule_id, 'warning' AS severity, 'Secret assigned to ' || name AS message
+      FROM (SELECT *, {_entropy_sql("v")} AS bits, {names.kind_sql("w")} AS kind FROM (SELECT *, {_normal_sql("value")} AS v, {names.words_sql("name")} AS w FROM ({assigned})))
+      WHERE kind IS NOT NULL AND length(v) >= 8 AND NOT ({out}) AND {enough}"""
+    luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN CAST(d[i] AS INTEGER) > 4 THEN CAST(d[i] AS INTEGER) * 2 - 9 ELSE CAST(d[i] AS INTEGER) * 2 END)) % 10 = 0"
+    cards = lambda t, k, x: f"SELECT id, start, CAST(length(d) AS INTEGER) AS n_digits FROM (SELECT *, regexp_replace(match, '[ -]', '', 'g') AS d FROM {_matches_sql(t, k, x, scan.CARD)}) WHERE regexp_matches(d, '^[2-6][0-9]{{12,18}}$') AND {luhn}"
+    attribute, url = _q(ATTRIBUTE), _q(URL)
+    shapes = ", ".join(f"regexp_matches(word, {_q(p)}) AS {n}" for n, p in values.SHAPES.items())
+    listed = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS id, {i} AS ordinal FROM documents WHERE regexp_matches(text, {_q(p)})" for i, (_, _, p) in enumerate(signatures.SIGNATURES))
+    return {
+        "document_assignments": assigned,
+        "scan_documents": findings,
+        "scan_summary": f"SELECT CAST(count_if(severity = 'critical') AS BIGINT) AS critical, CAST(count_if(severity = 'warning') AS BIGINT) AS warning, count(*) AS total FROM ({findings})",
+        "findings_rollup": f"SELECT source, kind, count(*) AS n FROM ({findings}) f JOIN documents d ON d.doc_id = f.id GROUP BY ROLLUP (source, kind)",
+        "document_cards": cards("documents", "doc_id", "text"),
+        "page_cards": cards("pages", "page_id", "html"),
+        "document_signatures": listed,
+        "page_attributes": f"SELECT id AS page_id, lower(regexp_extract(match, {attribute}, 1)) AS name, regexp_extract(match, {attribute}, 2) AS value, start FROM {_matches_sql('pages', 'page_id', 'html', ATTRIBUTE)}",
+        "page_urls": f"SELECT page_id, lower(regexp_extract(url, {url}, 1)) AS scheme, regexp_extract(url, {url}, 2) AS userinfo, lower(regexp_extract(url, {url}, 3)) AS host, regexp_extract(url, {url}, 4) AS query FROM pages",
+        "value_shapes": f"SELECT * FROM (SELECT word, {shapes} FROM (SELECT DISTINCT {_normal_sql('word')} AS word FROM (SELECT unnest(string_split_regex(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents) WHERE word <> '')) WHERE {' OR '.join(values.SHAPES)}",
+        "value_entropy": f"SELECT value, round({_entropy_sql('value')}, 6) AS bits, CAST({_alphabet_sql('value')} AS BIGINT) AS alphabet FROM (SELECT DISTINCT {_normal_sql('value')} AS value FROM ({assigned}))",
+        "name_words": f"SELECT p_partkey, array_to_string(w, ' ') AS words, coalesce({names.kind_sql('w')}, 'none') AS kind FROM (SELECT p_partkey, {names.words_sql('p_name')} AS w FROM part)",
+        "event_bursts": """SELECT user_id, epoch_us(min(ts)) AS "first", epoch_us(max(ts)) AS "last", count(*) AS n FROM (
+            SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
+              SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst""",
+        "event_properties": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
+        "unlisted_documents": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "line_counts": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(list_max(list_transform(string_split(text, chr(10)), lambda l: length(l))) AS BIGINT) AS longest FROM documents",
+    }
