@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import struct
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 # Fixed values of the BLAKE3 specification: the initial words, the message permutation, the flags.
@@ -66,8 +67,6 @@ def fingerprint(rule_id: str, secret: str) -> str:
 
 def fingerprint_column(rule_id, secret):
     """As a column; only findings, which are few, pass through Python, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def computed(rules: pd.Series, secrets: pd.Series) -> pd.Series:
         return pd.Series([None if s is None else fingerprint(r, s) for r, s in zip(rules, secrets, strict=True)])
