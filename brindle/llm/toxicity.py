@@ -49,8 +49,8 @@ class Lexicon:
     def __init__(self, terms: list[str]):
         self.trie: dict = {}
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        heads: dict[int, set[str]] = {}
+        tails: dict[int, set[str]] = {}
         for i, term in enumerate(terms):
             node = self.trie
             for letter in term:
@@ -58,12 +58,21 @@ class Lexicon:
             node[""] = i
             if len(term) >= SHORTEST_FUZZY:  # one edit leaves the first or the second half as it is
                 half = len(term) // 2
-                self.heads.add(term[:half])
-                self.tails.add(term[half:])
-        self.sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+                for length in (len(term) - 1, len(term), len(term) + 1):
+                    heads.setdefault(length, set()).add(term[:half])
+                    tails.setdefault(length, set()).add(term[half:])
+        self.halves = {n: ([(k, {x for x in heads[n] if len(x) == k}) for k in {*map(len, heads[n])}], [(k, {x for x in tails[n] if len(x) == k}) for k in {*map(len, tails[n])}]) for n in heads}
 
     def possible(self, word: str) -> bool:
-        return any(word[:n] in self.heads for n in self.sizes[0]) or any(word[-n:] in self.tails for n in self.sizes[1])
+        """Whether a term of about the word's length shares its first or its second half with it."""
+        if halves := self.halves.get(len(word)):
+            for n, own in halves[0]:
+                if word[:n] in own:
+                    return True
+            for n, own in halves[1]:
+                if word[-n:] in own:
+                    return True
+        return False
 
     def near(self, word: str) -> list[tuple[int, int]]:
         """(term, distance) for distances 0 and 1: the word's automaton runs along the trie.
@@ -72,7 +81,7 @@ class Lexicon:
         """
         if word in self.terms:
             return [(self.terms[word], 0)]
-        if len(word) < SHORTEST_FUZZY - 1 or not self.possible(word):
+        if not self.possible(word):
             return []
         places: dict[str, int] = {}
         for j, letter in enumerate(word):
@@ -99,37 +108,45 @@ class Scorer:
         self.state = terms, exact, fuzzy, weights
         self.lexicon, self.exact, self.fuzzy, self.weights = Lexicon(terms), exact, fuzzy, np.array(weights)
         self.bad: dict[str, tuple[float, float]] = {}
+        self.bad_chunks: set[str] = set()
         self.fine: set[str] = set()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
+        """Sorts what stands between white space into chunks with and without a word near a term."""
         if len(self.fine) > CACHE_WORDS:
             self.fine.clear()
-        for word in words:
-            hits = self.lexicon.near(word)
-            exact = max([self.exact[t] for t, d in hits if d == 0], default=0.0)
-            fuzzy = 0.0 if exact else max([self.fuzzy[t] for t, d in hits], default=0.0)
-            if exact or fuzzy > 0:
-                self.bad[word] = exact, fuzzy
-            else:
-                self.fine.add(word)
+        for chunk in chunks:
+            hit = False
+            for word in (chunk,) if chunk.isalnum() else _SPLIT(chunk):
+                if word in self.bad:
+                    hit = True
+                elif word in self.lexicon.terms or self.lexicon.possible(word):
+                    hits = self.lexicon.near(word)
+                    exact = max([self.exact[t] for t, d in hits if d == 0], default=0.0)
+                    fuzzy = 0.0 if exact else max([self.fuzzy[t] for t, d in hits], default=0.0)
+                    if exact or fuzzy > 0:
+                        self.bad[word], hit = (exact, fuzzy), True
+            (self.bad_chunks if hit else self.fine).add(chunk)
 
     def features(self, text: str) -> tuple[float, ...]:
-        words = _SPLIT(text.lower())
-        own = set(words)
+        text = text.lower()
+        own = set(text.split())  # no word and no mark holds white space
         if new := own - self.fine:
-            if new := new - self.bad.keys():
+            if new := new - self.bad_chunks:
                 self._learn(new)
+        if own.isdisjoint(self.bad_chunks):
+            return (0.0,) * 6
+        words = _SPLIT(text)
         exact = fuzzy = quoted = 0.0
         n_exact = n_fuzzy = 0
-        if not own.isdisjoint(self.bad):
-            for i, word in enumerate(words):
-                if hit := self.bad.get(word):
-                    around = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-                    if any(w in _MARKS for w in around[: CONTEXT + 1]) and any(w in _MARKS for w in around[-CONTEXT:]) or any(w in _SAYING for w in around):
-                        quoted += hit[0] + hit[1]
-                    else:
-                        exact, fuzzy = exact + hit[0], fuzzy + hit[1]
-                        n_exact, n_fuzzy = n_exact + (hit[0] > 0), n_fuzzy + (hit[1] > 0)
+        for i, word in enumerate(words):
+            if hit := self.bad.get(word):
+                around = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
+                if any(w in _MARKS for w in around[: CONTEXT + 1]) and any(w in _MARKS for w in around[-CONTEXT:]) or any(w in _SAYING for w in around):
+                    quoted += hit[0] + hit[1]
+                else:
+                    exact, fuzzy = exact + hit[0], fuzzy + hit[1]
+                    n_exact, n_fuzzy = n_exact + (hit[0] > 0), n_fuzzy + (hit[1] > 0)
         return min(exact, 20) / 5, float(n_exact > 0), min(fuzzy, 20) / 5, float(n_fuzzy > 0), min(quoted, 20) / 5, 100 * n_exact / (len(words) + 50)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -190,7 +207,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
             rows = [[float(label), *scorer.features(text)] for text, label in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    table = np.array([r["x"] for r in sample.select("text", "label").mapInArrow(features, "x array<double>").toLocalIterator()])
+    table = np.array([r["x"] for r in sample.select("text", "label").mapInArrow(features, "x array<double>").collect()])  # at most ``rows`` of them
     weights = classify.logistic(table[:, 1:], table[:, 0], ridge=0.5)
     if not weights[3:5].any():
         weights[3] = weights[1] / 2  # no misspelling among the labelled rows: half an exact hit's weight
