@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import classify
+from brindle.llm import classify, shared
 
 SAMPLE_ROWS = 8000
 SAMPLE_CHARS = 16_384
@@ -68,7 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     """A scorer, or the one score that there is without labels of both classes."""
     sample = classify.labelled_sample(docs, labels, "quality", 5, 0, rows)
     middle = F.when(F.length("text") > chars, F.substring("text", ((F.length("text") - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(F.col("text"))
-    found = sorted((r["doc_id"], r["label"], r["part"].encode()) for r in sample.select("doc_id", "label", middle.alias("part")).toLocalIterator())
+    parts = shared.written(sample.select("doc_id", "label", middle.alias("part")), f"{shared.work_dir(docs.sparkSession, 'quality')}/sample")
+    found = sorted((r["doc_id"], r["label"], r["part"].encode()) for r in parts.toLocalIterator())
     y = np.array([label for _, label, _ in found], float)
     if len(set(y)) < 2:
         return float(y[0]) if len(y) else 0.5
