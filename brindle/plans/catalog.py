@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import names, values
-from brindle.operators import scan, spans
+from brindle.operators import extract, scan, spans
 from brindle.plans import reports
 from brindle.sources import files, signatures
 from brindle.streaming import watch
@@ -100,6 +100,14 @@ def url_file_types(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.coalesce(files.file_type(path), F.lit("none")).alias("file_type"), F.coalesce(files.skip_reason(path), F.lit("none")).alias("skipped"))
 
 
+def document_config(spark, sf_dir):
+    return extract.config(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def event_trees(spark, sf_dir):
+    return extract.tree(_read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_type", F.struct("event_type").alias("of"))).alias("body")), "json", "event_id", "body")
+
+
 ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*)[ \t\n]*=[ \t\n]*["']([^"']*)["']"""
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)[^?#]*(?:\?([^#]*))?"
 
@@ -107,7 +115,7 @@ URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)[^?#]*(?:\?([^#]*
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         scan_documents, document_assignments, scan_summary, findings_rollup, document_cards, page_cards, document_signatures, page_attributes, page_urls, value_shapes,
-        value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types,
+        value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types, document_config, event_trees,
     )
     return {f.__name__: f for f in found}
 
@@ -171,6 +179,10 @@ def oracle_sql() -> dict[str, str]:
         "event_bursts": """SELECT user_id, epoch_us(min(ts)) AS "first", epoch_us(max(ts)) AS "last", count(*) AS n FROM (
             SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
               SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst""",
+        "document_config": f"""SELECT id, line, regexp_extract(body, {_q(extract.CONFIG)}, 1) AS name, concat(regexp_extract(body, {_q(extract.CONFIG)}, 2), regexp_extract(body, {_q(extract.CONFIG)}, 3), regexp_extract(body, {_q(extract.CONFIG)}, 4)) AS value
+            FROM (SELECT id, CAST(i AS INTEGER) AS line, l[i] AS body FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id AS id, string_split(regexp_replace(text, {_q(extract.CONTINUED)}, '', 'g'), chr(10)) AS l FROM documents)))
+            WHERE regexp_matches(body, {_q(extract.CONFIG)}) AND value <> ''""",
+        "event_trees": "SELECT event_id AS id, unnest(['event_type', 'of.event_type']) AS name, event_type AS value FROM events",
         "event_properties": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
         "unlisted_documents": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "line_counts": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(list_max(list_transform(string_split(text, chr(10)), lambda l: length(l))) AS BIGINT) AS longest FROM documents",
