@@ -3,8 +3,9 @@
 Benchmark items become windows of 13 words (a shorter item is one window); all windows go
 into one automaton over normalised text, which every document passes once. Matches are
 mapped back to the document's words and to code-point offsets in the original text. A
-benchmark of more than ``BLOCK_BYTES`` is taken in blocks of that size: the documents pass
-an automaton per block and each row carries its marked words along, without a shuffle.
+benchmark of more than ``BLOCK_BYTES`` is taken in blocks of about that size: each batch of
+documents passes an automaton per block and each row carries its marked words along, without
+a shuffle. More than ``GROUP_BYTES`` are broadcast in groups, one after the other.
 
 Defined results: null and empty texts have no words and are never contaminated; items
 without words are never found; repeated windows and items count once per item id; null ids
@@ -21,12 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import shared
+
 WINDOW = 13
-#: Benchmark text of one automaton, in bytes.
-BLOCK_BYTES = 32_000_000
+#: Benchmark text of one automaton, in characters: some 500 bytes of memory each.
+BLOCK_BYTES = 400_000
+#: Benchmark text that is broadcast at once, in bytes.
+GROUP_BYTES = 32_000_000
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(b if b in _KEEP else 32 for b in bytes(range(256)).lower())
-_automata: dict[str, object] = {}
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -82,40 +86,43 @@ def spans(raw: bytes, marked: np.ndarray) -> str:
     return ",".join(f"{points[begins[a]]}:{points[ends[b]]}" for a, b in zip(firsts, lasts, strict=True))
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """Broadcast windows of each block of items; a block's size is bounded before it is fetched."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
+def _groups(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str):
+    """Broadcast items of each group, dealt into blocks; a group's size is bounded before it is fetched."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text")).where("item IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    blocks = []
+    n = -(-total // GROUP_BYTES)
     for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        found = windows([(r["item"], r["text"]) for r in own.toLocalIterator() if r["item"] is not None])
-        blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast(found)))
-    return blocks
+        blocks, size = [[]], 0
+        for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator():
+            if size > BLOCK_BYTES:
+                blocks, size = [*blocks, []], 0
+            blocks[-1].append((r["item"], r["text"]))
+            size += len(r["text"])
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast(blocks)
+
 
+def _pass(name: str, group, text_at: int):
+    """An Arrow function that adds a group's marks to the last columns, `mask`, `items` and `n`.
 
-def _pass(name: str, block, text_at: int):
-    """An Arrow function that adds a block's marks to the last two columns, `mask` and `items`."""
+    A worker holds one block's automaton at a time, and keeps it where there is no other block.
+    """
 
     def run(frames):
         import pyarrow as pa
 
-        if _automata.get("of") != name:  # a worker keeps the automaton it built last
-            _automata.clear()
-            _automata.update({"of": name, "machine": automaton(block.value)})
-        machine = _automata["machine"]
         for frame in frames:
-            masks, items, counts = [], [], []
-            for text, mask, known in zip(frame.column(text_at), frame.column(frame.num_columns - 3), frame.column(frame.num_columns - 2), strict=True):
-                raw = (text.as_py() or "").encode()
-                n, marked, found = hits(raw, machine)
-                old = mask.as_py()
-                if marked is not None and old is not None:
-                    marked |= np.unpackbits(np.frombuffer(old, np.uint8))[:n].astype(bool)
-                masks.append(old if marked is None else np.packbits(marked).tobytes())
-                items.append(known.as_py() + sorted(found))
-                counts.append(n)
+            raws = [(t or "").encode() for t in frame.column(text_at).to_pylist()]
+            masks, items = (frame.column(frame.num_columns - k).to_pylist() for k in (3, 2))
+            counts = [0] * len(raws)
+            for number, block in enumerate(group.value):
+                machine = shared.remembered(("automaton", name, number), lambda b=block: automaton(windows(b)))
+                for at, raw in enumerate(raws):
+                    counts[at], marked, found = hits(raw, machine)
+                    if marked is not None:
+                        if masks[at] is not None:
+                            marked |= np.unpackbits(np.frombuffer(masks[at], np.uint8))[: len(marked)].astype(bool)
+                        masks[at] = np.packbits(marked).tobytes()
+                        items[at] += sorted(found)
             arrays = [*frame.columns[:-3], pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, schema=frame.schema)
 
@@ -123,11 +130,14 @@ def _pass(name: str, block, text_at: int):
 
 
 def _marked(spark: SparkSession, rows: DataFrame, text_col: str, benchmark: DataFrame, bench_id: str, bench_text: str) -> DataFrame:
-    """``rows`` under positional names c0, c1, ..., with mask, items and n (null if there is no benchmark text)."""
+    """``rows`` under positional names c0, c1, ..., with mask, items and n (words)."""
     at = rows.columns.index(text_col)
     wide = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).withColumns({"mask": F.lit(None).cast("binary"), "items": F.array().cast("array<string>"), "n": F.lit(None).cast("long")})
-    for name, block in _blocks(spark, benchmark, bench_id, bench_text) or [("none", spark.sparkContext.broadcast({}))]:
-        wide = wide.mapInArrow(_pass(name, block, at), wide.schema)
+    groups = [*_groups(spark, benchmark, bench_id, bench_text)] or [("none", spark.sparkContext.broadcast([[]]))]
+    for number, (name, group) in enumerate(groups):
+        if number:  # else the groups' workers would all run at once
+            wide = shared.written(wide, f"{shared.work_dir(spark, 'decontamination')}/{number}")
+        wide = wide.mapInArrow(_pass(name, group, at), wide.schema)
     return wide
 
 
