@@ -39,14 +39,13 @@ BANDS = 24
 #: is dealt again by its key in this band and each of the next REFINED bands.
 ALL_PAIRS = 16
 REFINED = 4
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (ROWS * BANDS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64((1 << 64) - 1)
-_powers: dict[str, np.ndarray] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,10 +55,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        _powers["up"] = np.cumprod(np.full(n, _BASE))
-        _powers["down"] = np.cumprod(np.full(n, _INVERSE))
-    return _powers["up"], _powers["down"]
+    """The first powers of the base and of its inverse; those of a single long text aren't kept."""
+    make = lambda size: (np.cumprod(np.full(size, _BASE)), np.cumprod(np.full(size, _INVERSE)))
+    return make(n) if n > 2 * BATCH_BYTES else shared.remembered(("powers", 2 * BATCH_BYTES), lambda: make(2 * BATCH_BYTES))
 
 
 def shingles(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

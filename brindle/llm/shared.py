@@ -41,6 +41,23 @@ def broadcast_within(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+_held: dict = {}
+
+
+def remembered(key: tuple, build):
+    """What this worker made for ``key`` before, or ``build()``. A new key replaces what was held.
+
+    Workers outlive stages, so the caches of one operator are let go when another one runs.
+    """
+    if key not in _held:
+        import pyarrow
+
+        _held.clear()
+        pyarrow.default_memory_pool().release_unused()
+        _held[key] = build()
+    return _held[key]
+
+
 def filesystem(uri: str):
     """pyarrow's file system for a shared URI, and the path in it."""
     from pyarrow import fs

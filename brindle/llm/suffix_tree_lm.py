@@ -247,15 +247,9 @@ class Automaton:
         return np.add.reduceat(each.astype(np.float64), np.concatenate([[0], ends[:-1]]))
 
 
-_models: dict[str, Automaton] = {}
-
-
 def _model(key: str, broadcast) -> Automaton:
     """This worker's automaton, built once from the broadcast tree."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = Automaton({k: _unpacked(blob) for k, blob in broadcast.value.items()})
-    return _models[key]
+    return shared.remembered(("suffix tree", key), lambda: Automaton({k: _unpacked(blob) for k, blob in broadcast.value.items()}))
 
 
 def fit_tree(spark: SparkSession, rows: DataFrame, at: str) -> dict[int, bytes]:

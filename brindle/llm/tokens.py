@@ -11,6 +11,8 @@ which the tests compare.
 
 from __future__ import annotations
 
+from brindle.llm import shared
+
 END_ID = 0
 #: Pieces that a worker remembers; when there are more it starts anew. Only speed depends on it.
 CACHE_PIECES = 500_000
@@ -84,14 +86,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file; pieces it knows stay known between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return shared.remembered(("encoder", path), lambda: Encoder(path))
 
 
 def batches(texts: list[str], most: int = 1 << 21):

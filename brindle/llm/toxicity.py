@@ -214,16 +214,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     return Scorer(terms, exact, fuzzy, weights.tolist())
 
 
-_scorers: dict = {}
-
-
 def _scorer(state) -> Scorer:
     """This worker's scorer, with the words it has met."""
-    key = repr(state)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*state)
-    return _scorers[key]
+    return shared.remembered(("toxicity", repr(state)), lambda: Scorer(*state))
 
 
 def _scored(frame, text_at: int, state) -> np.ndarray:
