@@ -86,6 +86,11 @@ def spans(raw: bytes, marked: np.ndarray) -> str:
     return ",".join(f"{points[begins[a]]}:{points[ends[b]]}" for a, b in zip(firsts, lasts, strict=True))
 
 
+def _bits(mask: bytes | None, n: int) -> np.ndarray | None:
+    """A packed mask's first n bits."""
+    return None if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8))[:n].astype(bool)
+
+
 def _groups(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str):
     """Broadcast items of each group, dealt into blocks; a group's size is bounded before it is fetched."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text")).where("item IS NOT NULL")
@@ -101,15 +106,20 @@ def _groups(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: st
         yield uuid.uuid4().hex, spark.sparkContext.broadcast(blocks)
 
 
-def _pass(name: str, group, text_at: int):
-    """An Arrow function that adds a group's marks to the last columns, `mask`, `items` and `n`.
+def _kept_along(frame, raws, masks, items, counts):
+    import pyarrow as pa
+
+    arrays = [*frame.columns[:-3], pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, schema=frame.schema)
+
+
+def _pass(name: str, group, text_at: int, finish):
+    """An Arrow function that adds a group's marks to the last columns, `mask`, `items` and `n`, and hands them to ``finish``.
 
     A worker holds one block's automaton at a time, and keeps it where there is no other block.
     """
 
     def run(frames):
-        import pyarrow as pa
-
         for frame in frames:
             raws = [(t or "").encode() for t in frame.column(text_at).to_pylist()]
             masks, items = (frame.column(frame.num_columns - k).to_pylist() for k in (3, 2))
@@ -120,63 +130,58 @@ def _pass(name: str, group, text_at: int):
                     counts[at], marked, found = hits(raw, machine)
                     if marked is not None:
                         if masks[at] is not None:
-                            marked |= np.unpackbits(np.frombuffer(masks[at], np.uint8))[: len(marked)].astype(bool)
+                            marked |= _bits(masks[at], len(marked))
                         masks[at] = np.packbits(marked).tobytes()
                         items[at] += sorted(found)
-            arrays = [*frame.columns[:-3], pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, schema=frame.schema)
+            yield finish(frame, raws, masks, items, counts)
 
     return run
 
 
-def _marked(spark: SparkSession, rows: DataFrame, text_col: str, benchmark: DataFrame, bench_id: str, bench_text: str) -> DataFrame:
-    """``rows`` under positional names c0, c1, ..., with mask, items and n (words)."""
+def _marked(spark: SparkSession, rows: DataFrame, text_col: str, benchmark: DataFrame, bench_id: str, bench_text: str, finish, schema) -> DataFrame:
+    """What ``finish`` makes of the batches of ``rows`` and their marks, in the worker that finds them."""
     at = rows.columns.index(text_col)
     wide = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).withColumns({"mask": F.lit(None).cast("binary"), "items": F.array().cast("array<string>"), "n": F.lit(None).cast("long")})
     groups = [*_groups(spark, benchmark, bench_id, bench_text)] or [("none", spark.sparkContext.broadcast([[]]))]
     for number, (name, group) in enumerate(groups):
-        if number:  # else the groups' workers would all run at once
-            wide = shared.written(wide, f"{shared.work_dir(spark, 'decontamination')}/{number}")
-        wide = wide.mapInArrow(_pass(name, group, at), wide.schema)
-    return wide
+        if number + 1 == len(groups):
+            return wide.mapInArrow(_pass(name, group, at, finish), schema)
+        # written, or the groups' workers would all run at once
+        wide = shared.written(wide.mapInArrow(_pass(name, group, at, _kept_along), wide.schema), f"{shared.work_dir(spark, 'decontamination')}/{number}")
 
 
 def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (marked runs as code points of the text)."""
 
-    def result(frames):
+    def result(frame, raws, masks, all_items, counts):
         import pyarrow as pa
 
-        for frame in frames:
-            rows = []
-            for text, mask, items, n in zip(*[c.to_pylist() for c in frame.columns[1:]], strict=True):
-                marked = None if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8))[:n].astype(bool)
-                n_hit, ids = 0 if marked is None else int(marked.sum()), sorted(set(items))
-                rows.append((n, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, "" if marked is None else spans((text or "").encode(), marked)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([frame.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+        rows = []
+        for raw, mask, items, n in zip(raws, masks, all_items, counts, strict=True):
+            marked = _bits(mask, n)
+            n_hit, ids = 0 if marked is None else int(marked.sum()), sorted(set(items))
+            rows.append((n, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, "" if marked is None else spans(raw, marked)))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([frame.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _marked(spark, rows, "text", benchmark, bench_id, bench_text).mapInArrow(result, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+    return _marked(spark, rows, "text", benchmark, bench_id, bench_text, result, schema)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text") -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    names = docs.columns
-    marks = _marked(spark, docs, text_col, benchmark, bench_id, bench_text)
 
-    def clean(frames):
+    def clean(frame, raws, masks, items, counts):
         import pyarrow as pa
 
-        for frame in frames:
-            keep = []
-            for mask, n in zip(frame.column(frame.num_columns - 3).to_pylist(), frame.column(frame.num_columns - 1).to_pylist(), strict=True):
-                n_hit = 0 if mask is None else int(np.unpackbits(np.frombuffer(mask, np.uint8))[:n].sum())
-                keep.append(not (n_hit > 0 and 20 * n_hit >= n))
-            yield frame.filter(pa.array(keep, pa.bool_())).select(range(frame.num_columns - 3))
+        n_hit = [0 if mask is None else int(_bits(mask, n).sum()) for mask, n in zip(masks, counts, strict=True)]
+        keep = pa.array([not (hit > 0 and 20 * hit >= n) for hit, n in zip(n_hit, counts, strict=True)], pa.bool_())
+        return frame.filter(keep).select(range(frame.num_columns - 3))
 
-    return marks.mapInArrow(clean, docs.toDF(*[f"c{i}" for i in range(len(names))]).schema).toDF(*names)
+    wide = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return _marked(spark, docs, text_col, benchmark, bench_id, bench_text, clean, wide.schema).toDF(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
