@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import names, values
 from brindle.operators import extract, scan, spans
 from brindle.plans import reports
-from brindle.sources import files, signatures
+from brindle.sources import files, providers, services, signatures
 from brindle.streaming import watch
 
 
@@ -108,6 +108,18 @@ def event_trees(spark, sf_dir):
     return extract.tree(_read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_type", F.struct("event_type").alias("of"))).alias("body")), "json", "event_id", "body")
 
 
+def service_mentions(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.explode(services.in_path(F.col("text"))).alias("keyword"))
+
+
+def document_services(spark, sf_dir):
+    return services.service_values(spark, document_assignments(spark, sf_dir)).groupBy("keyword", "exposure").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mention_providers(spark, sf_dir):
+    return providers.with_provider(spark, service_mentions(spark, sf_dir), None, "keyword").groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+
+
 ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*)[ \t\n]*=[ \t\n]*["']([^"']*)["']"""
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)[^?#]*(?:\?([^#]*))?"
 
@@ -116,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         scan_documents, document_assignments, scan_summary, findings_rollup, document_cards, page_cards, document_signatures, page_attributes, page_urls, value_shapes,
         value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types, document_config, event_trees,
+        service_mentions, document_services, mention_providers,
     )
     return {f.__name__: f for f in found}
 
@@ -163,7 +176,16 @@ def oracle_sql() -> dict[str, str]:
     attribute, url = _q(ATTRIBUTE), _q(URL)
     shapes = ", ".join(f"regexp_matches(word, {_q(p)}) AS {n}" for n, p in values.SHAPES.items())
     listed = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS id, {i} AS ordinal FROM documents WHERE regexp_matches(text, {_q(p)})" for i, (_, _, p) in enumerate(signatures.SIGNATURES))
+    keywords = "[" + ", ".join(_q(k) for k, *_ in services.SERVICES) + "]"
+    mentions = f"SELECT doc_id, unnest(list_filter({keywords}, lambda k: contains(lower(text), k))) AS keyword FROM documents"
+    held = " UNION ALL ".join(f"SELECT {_q(k)} AS keyword, {_q('|'.join(p))} AS secret, {_q('|'.join(u))} AS shown" for k, _, _, p, u in services.SERVICES)
+    provided = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in providers.BY_SERVICE.items())
     return {
+        "service_mentions": mentions,
+        "mention_providers": f"SELECT CASE keyword {provided} END AS provider, count(*) AS n FROM ({mentions}) GROUP BY 1",
+        "document_services": f"""SELECT keyword, CASE WHEN regexp_matches(v, secret) THEN 'secret' ELSE 'public' END AS exposure, count(*) AS n
+            FROM (SELECT {_normal_sql("value")} AS v, unnest(list_distinct({names.words_sql("name")})) AS keyword FROM ({assigned})) JOIN ({held}) USING (keyword)
+            WHERE regexp_matches(v, secret) OR (shown <> '' AND regexp_matches(v, shown)) GROUP BY ALL""",
         "document_assignments": assigned,
         "scan_documents": findings,
         "scan_summary": f"SELECT CAST(count_if(severity = 'critical') AS BIGINT) AS critical, CAST(count_if(severity = 'warning') AS BIGINT) AS warning, count(*) AS total FROM ({findings})",
