@@ -56,7 +56,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse; those of a single long text aren't kept."""
-    make = lambda size: (np.cumprod(np.full(size, _BASE)), np.cumprod(np.full(size, _INVERSE)))
+
+    def make(size: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+        return np.cumprod(up, out=up), np.cumprod(down, out=down)
+
     return make(n) if n > 2 * BATCH_BYTES else shared.remembered(("powers", 2 * BATCH_BYTES), lambda: make(2 * BATCH_BYTES))
 
 
@@ -67,7 +71,12 @@ def shingles(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[flat]
     edges = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], dtype=np.uint64)])
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    own = sums[1:]  # in place: a long text's arrays are eight times its size
+    own += flat
+    own += np.uint64(1)
+    own *= up[: len(flat)]
+    np.cumsum(own, out=own)
     words = _mix((sums[ends] - sums[begins]) * down[begins]) if len(begins) else np.zeros(0, np.uint64)
     limits = np.cumsum([len(r) + 1 for r in raws])
     n_words = np.diff(np.concatenate([[0], np.searchsorted(begins, limits)]))
@@ -124,11 +133,13 @@ def sketches(rows: DataFrame) -> DataFrame:
 
     def run(frames):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for frame in frames:
-            step = max(1, BATCH_BYTES // (frame.column(2).nbytes // max(frame.num_rows, 1) + 1))
-            for at in range(0, frame.num_rows, step):
-                part = frame.slice(at, step)
+            ends, at = np.cumsum(pc.binary_length(frame.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while at < frame.num_rows:  # BATCH_BYTES at most, or one longer text
+                step = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")) - at)
+                part, at = frame.slice(at, step), at + step
                 hashes, counts = shingles([t.encode() for t in part.column(2).to_pylist()])
                 some = np.flatnonzero(counts)
                 keys = band_keys(labelled(hashes, counts), counts[some]) if len(some) else np.zeros((0, BANDS), np.uint64)
