@@ -3,9 +3,9 @@
 A text's k-mers are its shingles of five words, each labelled with its occurrence number.
 For every hash function the ``LENGTH`` least labelled k-mers are sampled and kept in their
 text order; ``ROWS`` such samples make a band's key. Texts that share a band key are
-candidates; in a bucket of more than ``ALL_PAIRS`` texts each meets the bucket's pivot (its
-least digest) and, dealt again by two bands' keys at once, its closest fellows, so the pairs
-stay in proportion to the rows. A candidate is verified by banded alignment of the two shingle sequences: with
+candidates, all of them: those of buckets of up to ``ALL_PAIRS`` texts as pairs, those of larger
+ones in tasks of two blocks of texts each, which give counts and joining links and no row per pair.
+A candidate is verified by banded alignment of the two shingle sequences: with
 M aligned shingles of n and m, the similarity M / (n + m - M) must be 0.8 or more. Linked
 texts form classes (connected components); exact copies share a class from the start.
 
@@ -35,10 +35,11 @@ SIMILARITY = 0.8
 LENGTH = 2
 ROWS = 3
 BANDS = 24
-#: Buckets up to this size compare all their members. In a larger one each member meets the pivot and
-#: is dealt again by its key in this band and each of the next REFINED bands.
+#: Buckets up to this size make pairs; larger ones are compared block by block.
 ALL_PAIRS = 16
-REFINED = 4
+#: About so many texts, and bytes of text, make a block.
+BLOCK = 500
+BLOCK_BYTES = 4_000_000
 BATCH_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -215,36 +216,111 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "u_text", "v_text").mapInArrow(run, "u binary, v binary")
 
 
-def _meetings(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (u, v) of rows (key, digest, n), and the rows of buckets with more than ``ALL_PAIRS`` members.
-
-    Members of such a large bucket meet its pivot only; in smaller ones each member meets every other.
+def _block(table, same: bool):
+    """(u, v, n) of the texts of one pair of blocks: links that join what is linked here (n is null), and each text's count of links (v is null)."""
+    import pyarrow as pa
+
+    texts, digests = table.column("text"), table.column("digest").to_pylist()
+    side = table.column("second").to_numpy(zero_copy_only=False)
+    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
+    large = (table.column("mask").to_numpy()[:, None] >> np.arange(BANDS)) & 1 > 0
+    ends, at, parts = np.cumsum([len(t.as_py().encode()) for t in texts], dtype=np.int64), 0, []
+    while at < len(ends):
+        step = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")) - at)
+        hashes, sizes = shingles([t.encode() for t in texts.slice(at, step).to_pylist()])
+        parts.append((hashes, labelled(hashes, sizes), sizes))
+        at += step
+    hashes, marks, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    stops = np.cumsum(n)
+    starts = stops - n
+    left, right = np.flatnonzero(~side), np.flatnonzero(~side if same else side)
+    of = np.repeat(np.arange(len(n)), n)
+    inside = np.flatnonzero(np.isin(of, right))
+    inside = inside[np.argsort(marks[inside], kind="stable")]
+    listed, owner, place = marks[inside], of[inside], (np.arange(len(of)) - starts[of])[inside]
+    degree, root = np.zeros(len(n), np.int64), list(range(len(n)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    joins = []
+    for u in left.tolist():
+        equal = keys == keys[u]
+        may = (equal & large[u]).any(1) & ~(equal & ~large[u]).any(1)  # what shares a small bucket is compared there
+        wanted = np.zeros(len(n), bool)
+        wanted[right[right > u] if same else right] = True
+        need = -(-round(1000 * SIMILARITY) * (n + n[u]) // (1000 + round(1000 * SIMILARITY)))
+        may &= wanted & (np.minimum(n, n[u]) >= need)
+        if not may.any():
+            continue
+        own = marks[starts[u] : stops[u]]
+        low, high = np.searchsorted(listed, own), np.searchsorted(listed, own, side="right")
+        each = high - low
+        found = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        found = found[may[owner[found]]]
+        may &= np.bincount(owner[found], minlength=len(n)) >= need
+        found = found[may[owner[found]]]
+        found = found[np.argsort(owner[found], kind="stable")]
+        o, p = owner[found], place[found]
+        crossed = np.zeros(len(n), bool)
+        crossed[o[1:][(o[1:] == o[:-1]) & (p[1:] < p[:-1])]] = True
+        for v in np.flatnonzero(may).tolist():
+            if crossed[v] and not similar(hashes[starts[u] : stops[u]], own, hashes[starts[v] : stops[v]], marks[starts[v] : stops[v]]):
+                continue
+            degree[u] += 1
+            degree[v] += 1
+            a, b = top(u), top(v)
+            if a != b:
+                root[a] = b
+                joins.append((digests[u], digests[v], None))
+    joins += [(digests[i], None, int(degree[i])) for i in np.flatnonzero(degree).tolist()]
+    columns = list(zip(*joins, strict=True)) or [[]] * 3
+    return pa.table({name: pa.array(c, t) for name, c, t in zip("uvn", columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)})
+
+
+def _in_blocks(large: DataFrame, nodes: DataFrame, texts: DataFrame, at: str) -> DataFrame:
+    """(u, v, n) as ``_block`` gives them, over all pairs of texts that share large buckets and no small one.
+
+    large: (digest, band, key, size). Each text is dealt into a block of its largest bucket; two blocks meet,
+    in a task of their own, where a bucket has members in both. So each pair is compared once at any number of bands.
+    """
+    homes = large.groupBy("digest").agg(F.max(F.struct("size", "key")).alias("home"), F.expr("bit_or(shiftleft(1, band))").alias("mask")).select("digest", "mask", F.col("home.key").alias("home"))
+    whole = homes.join(nodes.select("digest", "keys"), "digest").join(texts, "digest")
+    whole = shared.written(whole.withColumn("bytes", F.octet_length("text").cast("long")), f"{at}/members")
+    parts = whole.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
+    placed = whole.select("digest", "home").join(parts, "home").select("digest", F.xxhash64("home", F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block"))
+    placed = shared.written(placed, f"{at}/placed")
+    spread = shared.written(large.select("digest", "key").join(placed, "digest").select("key", "block").distinct(), f"{at}/spread")
+    tasks = spread.select("key", F.col("block").alias("p")).join(spread.select("key", F.col("block").alias("q")), "key").where("p <= q").select("p", "q").distinct()
+    sides = tasks.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    dealt = sides.join(placed, "block").join(whole.select("digest", "mask", "keys", "text"), "digest")
+    dealt = dealt.select("p", "q", (F.col("block") != F.col("p")).alias("second"), "digest", "mask", "keys", "text")
+    return dealt.groupBy("p", "q").applyInArrow(lambda key, table: _block(table, key[0].as_py() == key[1].as_py()), "u binary, v binary, n long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(u, v) digests of similar texts, enough of them to join all that are linked, and (digest, n_links) over all.
+
+    docs: (digest, text); nodes: (digest, n, keys), one row per text.
     """
-    sizes = buckets.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = buckets.join(sizes, "key")
-    alike = lambda one, other: F.least(one, other) >= SIMILARITY * F.greatest(one, other)
-    large = met.where(F.col("size") > ALL_PAIRS)
-    by_pivot = large.where((F.col("digest") != F.col("pivot.digest")) & alike(F.col("n"), F.col("pivot.n"))).select(F.col("digest").alias("u"), F.col("pivot.digest").alias("v"))
+    bands = nodes.select("digest", "n", F.posexplode("keys").alias("band", "key"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = bands.join(sizes, "key")
+    large = shared.written(met.where(F.col("size") > ALL_PAIRS).select("digest", "band", "key", "size"), f"{at}/large")
     groups = met.where(F.col("size") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("digest", "n"))).alias("g"))  # at most ALL_PAIRS each
     each = groups.select("g", F.posexplode("g").alias("i", "v")).select("v", F.explode(F.slice("g", F.col("i") + 2, ALL_PAIRS)).alias("u"))
-    among = each.where(alike(F.col("u.n"), F.col("v.n"))).select(F.col("u.digest").alias("u"), F.col("v.digest").alias("v"))
-    return by_pivot.unionByName(among), large
-
-
-def links(docs: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
-    """(u, v) digests of similar texts. docs: (digest, text); nodes: (digest, n, keys), one row per text."""
-    bands = nodes.select("digest", "n", F.posexplode("keys").alias("band", "key"))
-    near, large = _meetings(bands)
-    large = shared.written(large.select("digest", "n", "band", "key"), f"{at}/large")
-    more = large.join(nodes.select("digest", "keys"), "digest").select(
-        "digest", "n", F.explode(F.array(*[F.xxhash64("key", F.element_at("keys", F.pmod(F.col("band") + d, F.lit(BANDS)) + 1)) for d in range(1, REFINED + 1)])).alias("key")
-    )
-    pairs = shared.written(near.unionByName(_meetings(more)[0]).distinct(), f"{at}/pairs")
-    wanted = shared.broadcast_within(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), 100)
-    texts = shared.written(docs.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), f"{at}/texts")
+    alike = F.least("u.n", "v.n") >= SIMILARITY * F.greatest("u.n", "v.n")
+    pairs = shared.written(each.where(alike).select(F.col("u.digest").alias("u"), F.col("v.digest").alias("v")).distinct(), f"{at}/pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).unionByName(large.select("digest")).distinct()
+    texts = shared.written(docs.join(shared.broadcast_within(wanted, 100), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), f"{at}/texts")
     with_u = pairs.join(texts.select(F.col("digest").alias("u"), F.col("text").alias("u_text")), "u")
     both = with_u.join(texts.select(F.col("digest").alias("v"), F.col("text").alias("v_text")).hint("merge"), "v")
-    return _verified(both)
+    few = shared.written(_verified(both), f"{at}/few")
+    many = shared.written(_in_blocks(large, nodes, texts, at), f"{at}/many")
+    degree = few.select(F.explode(F.array("u", "v")).alias("digest"), F.lit(1).cast("long").alias("n")).unionByName(many.where("v IS NULL").select(F.col("u").alias("digest"), "n"))
+    return few.unionByName(many.where("v IS NOT NULL").select("u", "v")), degree.groupBy("digest").agg(F.sum("n").alias("n_links"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,11 +331,10 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     marked = shared.written(sketches(rows), f"{at}/sketches")
     nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = shared.written(nodes, f"{at}/nodes")
-    found = shared.written(links(rows.select("digest", "text"), nodes.where("n > 0").select("digest", "n", "keys"), at), f"{at}/found")
+    found, degree = links(rows.select("digest", "text"), nodes.where("n > 0").select("digest", "n", "keys"), at)
     roots = components(found, at).select(F.col("u").alias("digest"), F.col("v").alias("root"))
-    degree = found.select(F.explode(F.array("u", "v")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
     members = nodes.join(roots, "digest", "left").join(degree, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "first_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    members = shared.written(members, f"{at}/members")
+    members = shared.written(members, f"{at}/told")
     whole = members.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest")).alias("best"), F.sum("copies").alias("class_size"))
     told = members.join(whole, "root").select("digest", "n_links", "class_size", F.col("best.first_id").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("holds"))
     return marked.select("doc_id", "digest").join(told, "digest").select(

@@ -171,6 +171,27 @@ def test_near_dedup(spark):
     assert near_dedup.classes(spark, docs(spark, [])).count() == 0
 
 
+def test_near_dedup_in_large_buckets(spark, tmp_path, monkeypatch):
+    base = words(200, 31).split()
+    family = [" ".join([*base[:100], f"own{i}", *base[101:]]) for i in range(320)]
+    rows = near_dedup.classes(spark, docs(spark, family)).collect()
+    assert {(r.class_id, r.class_size, r.n_links) for r in rows} == {(0, 320, 319)}
+    # one bucket of 340 texts in all bands: 20 near copies of one text, and 160 pairs; all else is unlike, so no pivot serves
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    pairs = [" ".join([*words(60, 500 + i).split()[:-1], end]) for i in range(160) for end in ("left", "right")]
+    crossed = [" ".join([*base[: 5 * i], *base[5 * i + 5 : 5 * i + 10], *base[5 * i : 5 * i + 5], *base[5 * i + 10 :]]) for i in range(20)]
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    texts = spark.createDataFrame([(digest(t), t) for t in [*pairs, *crossed]], "digest binary, text string")
+    nodes = spark.createDataFrame([(digest(t), int(near_dedup.shingles([t.encode()])[1][0]), list(range(near_dedup.BANDS))) for t in [*pairs, *crossed]], "digest binary, n long, keys array<long>")
+    found, degree = near_dedup.links(texts, nodes, f"file://{tmp_path}/near")
+    got = {bytes(r.digest): r.n_links for r in degree.collect()}
+    parsed = [(h, near_dedup.labelled(h, c)) for h, c in (near_dedup.shingles([t.encode()]) for t in crossed)]
+    brute = {digest(t): sum(near_dedup.similar(*parsed[i], *parsed[j]) for j in range(20) if j != i) for i, t in enumerate(crossed)}
+    assert got == {**{digest(t): 1 for t in pairs}, **{k: n for k, n in brute.items() if n}} and max(brute.values()) > 1
+    joined = components.components(found, f"file://{tmp_path}/joined").collect()
+    assert len(joined) == 160 + 19
+
+
 def test_alignment():
     r = random.Random(5)
     for _ in range(200):
