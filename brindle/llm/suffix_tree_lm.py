@@ -3,13 +3,13 @@
 Texts are read as their tokens joined by single spaces, with ASCII lower-cased, and one end
 symbol; the tree's symbols are bytes. Contexts of up to ``DEPTH`` symbols are counted over
 all training rows. A context is retained when its next-symbol distribution diverges from
-that of its longest proper suffix: count x KL must reach ``GAIN`` nats and ``SHARE`` of the
-training symbols. The second part is the classical test on probability x divergence; as
-probability x divergence of the contexts of one length adds up to at most log(256), a tree
-has at most DEPTH * log(256) / SHARE retained contexts at any input size, so it may be sent
-to every worker. Distributions are smoothed by their suffix's (``BETA`` pseudo-counts), and
-scoring moves along the automaton of longest-suffix states, for many places of a batch at
-once.
+that of its longest proper suffix: count x KL must reach ``GAIN`` nats, at any input size, so
+the tree grows with the training text. Distributions are smoothed by their suffix's (``BETA``
+pseudo-counts).
+
+The tree stays in shards by the two symbols next to the predicted one. Each batch of texts
+sends a shard its distinct (context, next) codes with the rows they occur in, and gets back
+the rows' sums of log probabilities; only contexts of up to one symbol go to all workers.
 
 Counts travel as sorted, compressed blocks, by the two symbols next to the predicted one.
 The unigram base needs each token's training count: tokens with ``FREQUENT`` of all training
@@ -27,6 +27,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,6 @@ from brindle.llm import classify, shared
 
 DEPTH = 6
 GAIN = 20.0
-SHARE = 4e-7
 BETA = 10.0
 FREQUENT = 1e-6
 END = 10
@@ -62,8 +62,8 @@ def _batches(frames, column: int):
             yield frame, at, frame.column(column).slice(at, step).to_pylist()
 
 
-def gram_counts(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, next) codes, oldest symbol first, and their counts. Starts are padded by end symbols."""
+def gram_codes(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """The (context, next) code of each place, oldest symbol first. Starts are padded by end symbols."""
     pad = bytes([END]) * depth
     buffer = np.frombuffer(b"".join(pad + s for s in streams), np.uint8)
     codes = np.zeros(len(buffer) - depth, np.uint64)
@@ -73,7 +73,12 @@ def gram_counts(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, n
     ends = np.cumsum([len(s) + depth for s in streams])
     for k in range(depth):
         real[np.concatenate([[0], ends[:-1]]) + k] = False
-    return _counted(codes[real[depth:]])
+    return codes[real[depth:]]
+
+
+def gram_counts(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, next) codes and their counts."""
+    return _counted(gram_codes(streams, depth))
 
 
 def _counted(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +152,10 @@ def _node_sums(keys: np.ndarray, counts: np.ndarray):
 
 
 def retained(codes: np.ndarray, counts: np.ndarray, order1: tuple[np.ndarray, np.ndarray], symbols: int, depth: int = DEPTH) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, keys, counts) of the contexts of 2 symbols and more that a shard retains, with all their next symbols."""
+    """(length, keys, counts) of the contexts of 2 symbols and more that a shard retains, with all their next symbols.
+
+    What is retained doesn't depend on ``symbols``, the size of the training text.
+    """
     levels = {1: order1}
     for k in range(depth, 1, -1):
         levels[k] = _counted(codes & np.uint64((1 << 8 * (k + 1)) - 1), counts)
@@ -162,7 +170,7 @@ def retained(codes: np.ndarray, counts: np.ndarray, order1: tuple[np.ndarray, np
         p_up = up_n[np.searchsorted(up, suffix)] / up_totals[np.searchsorted(up_contexts, suffix >> np.uint64(8))]
         total = np.repeat(totals, np.diff(np.append(first, len(keys))))
         gains = np.add.reduceat(n * np.log(n / total / p_up), first) if len(first) else np.zeros(0)
-        chosen = contexts[(gains >= max(GAIN, SHARE * symbols)) | np.isin(contexts, wanted)]
+        chosen = contexts[(gains >= GAIN) | np.isin(contexts, wanted)]
         keep[k], wanted = chosen, np.unique(chosen & np.uint64((1 << 8 * (k - 1)) - 1))
     found = []
     for k, chosen in keep.items():
@@ -173,7 +181,7 @@ def retained(codes: np.ndarray, counts: np.ndarray, order1: tuple[np.ndarray, np
 
 
 class Automaton:
-    """The longest-suffix states of a retained tree."""
+    """The longest-suffix states of a whole retained tree: dense, so for small trees; ``likelihoods`` gives the same from shards."""
 
     def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]], depth: int = DEPTH):
         """levels: for each context length its (context, next) keys and counts."""
@@ -247,14 +255,55 @@ class Automaton:
         return np.add.reduceat(each.astype(np.float64), np.concatenate([[0], ends[:-1]]))
 
 
-def _model(key: str, broadcast) -> Automaton:
-    """This worker's automaton, built once from the broadcast tree."""
-    return shared.remembered(("suffix tree", key), lambda: Automaton({k: _unpacked(blob) for k, blob in broadcast.value.items()}))
+def _tables(levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """Contexts, their totals, keys and counts of each context length, up to the first that has none."""
+    found = []
+    for k in range(DEPTH + 1):
+        if k not in levels or not len(levels[k][0]):
+            break
+        contexts, _, totals = _node_sums(*levels[k])
+        found.append((contexts, totals, *levels[k]))
+    return found
 
 
-def fit_tree(spark: SparkSession, rows: DataFrame, at: str) -> dict[int, bytes]:
-    """The retained tree of column ``text``: for each context length, its packed (context, next) keys and counts."""
-    shards = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def likelihoods(codes: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """log10 probabilities of (context, next) codes. ``tables`` hold the retained suffixes of all their contexts."""
+    p, live = np.full(len(codes), 1 / 256), np.arange(len(codes))
+    for k, (contexts, totals, keys, counts) in enumerate(tables):
+        own = codes[live] & np.uint64((1 << 8 * (k + 1)) - 1)
+        at = np.minimum(np.searchsorted(contexts, own >> np.uint64(8)), len(contexts) - 1)
+        held = contexts[at] == own >> np.uint64(8)
+        live, own, total = live[held], own[held], totals[at[held]]
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        p[live] = (p[live] * BETA + np.where(keys[at] == own, counts[at], 0)) / (total + BETA)
+    return np.log10(p)
+
+
+def _places(codes: np.ndarray, rows: np.ndarray, shards: int):
+    """(shard, packed distinct codes and counts, packed rows) of a batch's places."""
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    of = _shards(codes, shards)
+    order = np.argsort(of.astype(np.int32), kind="stable")
+    codes, rows = codes[order], rows[order]
+    ends = np.cumsum(np.bincount(of.astype(np.int64), minlength=shards))
+    for shard, (first, last) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        if first < last:
+            own = codes[first:last]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            planes = rows[first:last].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield shard, _packed(own[starts], np.diff(np.append(starts, len(own)))), zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _sums(blob: bytes, rows: bytes, n_rows: int, tables: list[tuple[np.ndarray, ...]]) -> bytes:
+    """A shard's part of the scores of a batch's rows."""
+    codes, counts = _unpacked(blob)
+    of = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(rows), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.bincount(of, np.repeat(likelihoods(codes, tables), counts), n_rows).tobytes()
+
+
+def fit_tree(rows: DataFrame, at: str, shards: int) -> tuple[dict[int, bytes], DataFrame]:
+    """The retained tree of column ``text``: packed (context, next) keys and counts of lengths 0 and 1, and (shard, k, blob) of longer ones."""
     counted = shared.written(count_contexts(rows, shards), f"{at}/contexts")
 
     def pairs(frames):
@@ -275,14 +324,12 @@ def fit_tree(spark: SparkSession, rows: DataFrame, at: str) -> dict[int, bytes]:
         import pyarrow as pa
 
         for frame in frames:
-            for blob in frame.column("blob").to_pylist():
+            for shard, blob in zip(*[frame.column(c).to_pylist() for c in ("shard", "blob")], strict=True):
                 for k, keys, n in retained(*_unpacked(blob), one, symbols):
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "blob": [_packed(keys, n)]})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "k": pa.array([k], pa.int32()), "blob": [_packed(keys, n)]})
 
-    levels: dict[int, list] = {0: [_counted(one[0] & np.uint64(255), one[1])], 1: [one]}
-    for row in counted.repartition(shards, "shard").mapInArrow(keep, "k int, blob binary").toLocalIterator():
-        levels.setdefault(row["k"], []).append(_unpacked(row["blob"]))
-    return {k: _packed(*_counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))) for k, parts in levels.items() if symbols}
+    short = {0: _packed(*_counted(one[0] & np.uint64(255), one[1])), 1: _packed(*one)} if symbols else {}
+    return short, shared.written(counted.repartition(shards, "shard").mapInArrow(keep, "shard int, k int, blob binary"), f"{at}/tree")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -315,21 +362,22 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = 7, part: int = 2) -
     at = shared.work_dir(spark, "suffix-tree")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), classify.held_out("doc_id", parts, part).alias("held_out"), "text")
     training = rows.where(~F.col("held_out"))
-    tree = fit_tree(spark, training, at)
+    shards = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    short, tree = fit_tree(training, at, shards)
     counts = shared.written(token_counts(training), f"{at}/tokens")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     common = counts.where(F.col("n") >= max(1.0, FREQUENT * n)) if n else counts.limit(0)  # at most 1 / FREQUENT rows
     known = spark.sparkContext.broadcast({bytes(r["token"]): math.log10(r["n"] + 1) for r in common.toLocalIterator()})
-    model = spark.sparkContext.broadcast(tree)
+    base_levels = spark.sparkContext.broadcast(short)  # at most 256 x 256 counts
 
-    def scored(frames):
+    def split(frames):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        automaton, get = _model(at, model), known.value.get
+        get = known.value.get
         row = TaskContext.get().partitionId() << 40
         for frame, first, texts in _batches(frames, 2):
-            streams, table = [], []
+            streams, table, batch = [], [], row
             for text in texts:
                 own = tokens(text)
                 streams.append(stream(own))
@@ -338,15 +386,48 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = 7, part: int = 2) -
                 rare = Counter([w for w, x in zip(own, logs, strict=True) if x is None]) if None in logs else {}
                 table.append((row, len(own), len(own) - sum(rare.values()), math.fsum(x for x in logs if x is not None), list(rare), list(rare.values())))
                 row += 1
-            columns = list(zip(*table, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*[frame.column(i).slice(first, len(texts)) for i in (0, 1)], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array(automaton.scores(streams))],
-                ["doc_id", "held_out", "row", "n_tokens", "n_common", "logs", "rare", "times", "score"],
-            )
-
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_common long, logs double, rare array<binary>, times array<long>, score double"
-    table = shared.written(rows.mapInArrow(scored, schema), f"{at}/scored")
+            n = len(texts)
+            fixed = [pa.array([k] * n, t) for k, t in ((batch // 7 % shards, pa.int32()), (2, pa.int32()), (batch, pa.int64()), (None, pa.binary()), (None, pa.binary()))]
+            own = [pa.array(c, t) for c, t in zip(zip(*table, strict=True), kinds[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*fixed, *[frame.column(i).slice(first, n) for i in (0, 1)], *own], names)
+            for shard, blob, rows_of in _places(gram_codes(streams), np.repeat(np.arange(n), [len(s) for s in streams]), shards):
+                values = [shard, 1, batch, blob, rows_of, None, None, n, *[None] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *kinds], strict=True)], names)
+
+    def summed(frames):  # a shard's tree (kind 0) comes before what is asked of it (kind 1)
+        import pyarrow as pa
+
+        now, levels, tables = None, {}, None
+        for frame in frames:
+            sums = []
+            for shard, kind, blob, rows_of, n in zip(*[frame.column(c).to_pylist() for c in ("shard", "kind", "blob", "rows_of", "row")], strict=True):
+                if shard != now:
+                    now, levels, tables = shard, {k: _unpacked(b) for k, b in base_levels.value.items()}, None
+                if kind == 0:
+                    levels[n] = _unpacked(blob)
+                elif kind == 1:
+                    tables = _tables(levels) if tables is None else tables
+                    blob = _sums(blob, rows_of, n, tables)
+                sums.append(blob if kind == 1 else None)
+            done = frame.set_column(3, "blob", pa.array(sums, pa.binary())).set_column(4, "rows_of", pa.nulls(len(sums), pa.binary()))
+            yield done.filter(pa.array([k > 0 for k in frame.column("kind").to_pylist()], pa.bool_()))
+
+    def total(table):
+        import pyarrow as pa
+
+        sums = [np.frombuffer(b, np.float64) for b in table.column("blob").to_pylist() if b is not None]
+        own = table.filter(pa.array([k == 2 for k in table.column("kind").to_pylist()], pa.bool_()))
+        at = own.column("row").to_numpy() - own.column("batch").to_numpy()
+        return own.select(names[5:]).append_column("score", pa.array(np.sum(sums, axis=0)[at]))
+
+    kinds = (pyarrow.int64(), pyarrow.bool_(), pyarrow.int64(), pyarrow.int64(), pyarrow.int64(), pyarrow.float64(), pyarrow.list_(pyarrow.binary()), pyarrow.list_(pyarrow.int64()))
+    out = "doc_id long, held_out boolean, row long, n_tokens long, n_common long, logs double, rare array<binary>, times array<long>"
+    names = ["shard", "kind", "batch", "blob", "rows_of", "doc_id", "held_out", "row", "n_tokens", "n_common", "logs", "rare", "times"]
+    wide = f"shard int, kind int, batch long, blob binary, rows_of binary, {out}"
+    trees = tree.select("shard", F.lit(0).alias("kind"), "blob", F.col("k").cast("long").alias("row"))
+    asked = rows.mapInArrow(split, wide).unionByName(trees, allowMissingColumns=True)
+    parts = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(summed, wide)
+    table = shared.written(parts.groupBy("batch").applyInArrow(total, f"{out}, score double"), f"{at}/scored")
     rare = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     rest = rare.join(counts, "token").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))

@@ -236,6 +236,19 @@ def test_automaton_is_a_distribution_and_finds_longest_suffixes():
     assert np.allclose(together, alone, atol=1e-3)
 
 
+def test_suffix_tree_grows_and_scores_in_shards(spark):
+    texts = [words(200, s % 9) + " " + words(60, 70 + s) for s in range(90)]
+    own = {i: suffix_tree_lm.stream(suffix_tree_lm.tokens(t)) for i, t in enumerate(texts)}
+    codes, counts = suffix_tree_lm.gram_counts([s for i, s in own.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    one = suffix_tree_lm._counted(codes & np.uint64(0xFFFF), counts)
+    kept, larger = (suffix_tree_lm.retained(codes, counts, one, n) for n in (int(counts.sum()), 10**11))
+    assert sum(len(x) for _, x, _ in kept) > 0 and [x.tolist() for _, x, _ in kept] == [x.tolist() for _, x, _ in larger]
+    levels = {0: suffix_tree_lm._counted(one[0] & np.uint64(255), one[1]), 1: one} | {k: (x, n) for k, x, n in kept}
+    wanted = suffix_tree_lm.Automaton(levels).scores(list(own.values()))
+    rows = suffix_tree_lm.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(rows) == 90 and all(abs(r.score - wanted[r.doc_id]) < 1e-2 for r in rows)
+
+
 def test_classifiers(spark):
     r = random.Random(6)
     rows, labels = [], []
