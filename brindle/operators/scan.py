@@ -9,8 +9,10 @@ from brindle.functions import fingerprint, names, values
 from brindle.operators import spans
 from brindle.sources import signatures
 
-#: A name, a separator and a quoted value, or a bare one to the end of the word.
+#: A name, a separator and a quoted value, or a bare one to the end of the word: for the SQL twins, whose names and values are bounded.
 ASSIGNMENT = r"""[A-Za-z_][A-Za-z0-9_.-]{1,63}["']?[ \t]*[:=][ \t]*(?:"[^"\n]{1,512}"|'[^'\n]{1,512}'|[^\s"'<>,;]{1,512})"""
+#: The same without bounds. A match begins at the first character of a run, so a run is read once; digits before the name are cut off.
+WHOLE_ASSIGNMENT = r"""(?<![A-Za-z0-9_.-])[0-9.-]*+[A-Za-z_][A-Za-z0-9_.-]++["']?[ \t]*+[:=][ \t]*+(?:"[^"\n]++"|'[^'\n]++'|[^\s"'<>,;]++)"""
 _PARTS = r"""^([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*[:=][ \t]*["']?([^"'\n]*)"""
 CARD = r"[0-9][0-9 -]{11,22}[0-9]"
 
@@ -18,15 +20,17 @@ CARD = r"[0-9][0-9 -]{11,22}[0-9]"
 def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, name, value, start, line, column) of each assignment in column text."""
     text = F.col(text_col)
-    hits = docs.where(text.rlike(ASSIGNMENT)).select(F.col(id_col).alias("id"), text.alias("text"), F.explode(spans.matches(text, ASSIGNMENT)).alias("m"))
+    hits = docs.where(text.rlike(WHOLE_ASSIGNMENT)).select(F.col(id_col).alias("id"), text.alias("text"), F.explode(spans.matches(text, WHOLE_ASSIGNMENT)).alias("m"))
+    own = F.regexp_replace("m.match", "^[0-9.-]+", "")
+    start = F.col("m.start") + F.char_length("m.match") - F.char_length(own)
     return hits.select(
         "id",
-        F.regexp_extract("m.match", _PARTS, 1).alias("name"),
-        F.regexp_extract("m.match", _PARTS, 2).alias("value"),
-        F.col("m.start").alias("start"),
-        F.char_length("m.match").alias("length"),
-        spans.line_of(F.col("text"), F.col("m.start")).alias("line"),
-        spans.column_of(F.col("text"), F.col("m.start")).alias("column"),
+        F.regexp_extract(own, _PARTS, 1).alias("name"),
+        F.regexp_extract(own, _PARTS, 2).alias("value"),
+        start.alias("start"),
+        F.char_length(own).alias("length"),
+        spans.line_of(F.col("text"), start).alias("line"),
+        spans.column_of(F.col("text"), start).alias("column"),
     )
 
 

@@ -29,6 +29,24 @@ def test_values(spark):
     assert [r.c for r in header.select(values.authorization_credential(header["h"]).alias("c")).collect()] == ["hunter2", "abc"]
 
 
+def test_assignments_are_whole(spark):
+    r = random.Random(8)
+    long = ["".join(r.choice("bcdfghjkQWp079") for _ in range(n)) for n in (512, 513, 100_000)]
+    name = "test_" + "x" * 100_000 + "_api_key"
+    texts = [f'7.api_key = "{v}" x' for v in long] + [f"é\n9api_token: {v}, x" for v in long] + [f"{name} = '{long[1]}'", f"{long[2]} {long[2]}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.id: x for x in scan.assignments(df).collect()}
+    assert {i: (x.name, x.value, x.start, x.length, x.line, x.column) for i, x in got.items()} == {
+        **{i: ("api_key", v, 2, len(v) + 12, 1, 3) for i, v in enumerate(long)},
+        **{i + 3: ("api_token", v, 3, len(v) + 11, 2, 2) for i, v in enumerate(long)},
+        6: (name, long[1], 0, len(name) + 518, 1, 1),
+    }
+    assert {x.id for x in scan.assignment_findings(scan.assignments(df)).collect()} == {0, 1, 2, 3, 4, 5}
+    mixed = ["".join(r.choice("ab9.-_ \"'=:\n,") for _ in range(60)) for _ in range(2000)]
+    rows = scan.assignments(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")).select("id", "start", "length").collect()
+    assert sorted(map(tuple, rows)) == [(i, m.start(), len(m.group())) for i, t in enumerate(mixed) for m in re.finditer(scan.ASSIGNMENT, t)]
+
+
 def synthetic():
     r = random.Random(1)
     return "npm" + "_" + "".join(r.choice("abcXYZ019") for _ in range(36))
