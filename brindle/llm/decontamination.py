@@ -8,8 +8,9 @@ documents passes an automaton per block and each row carries its marked words al
 a shuffle. More than ``GROUP_BYTES`` are broadcast in groups, one after the other.
 
 Defined results: null and empty texts have no words and are never contaminated; items
-without words are never found; repeated windows and items count once per item id; null ids
-are kept; an empty documents table gives an empty one and an empty benchmark marks nothing;
+without words are never found; repeated windows and items count once per item id; benchmark rows
+with a null id are found too, count as one item together and have no part in items_sha256;
+documents' null ids are kept; an empty documents table gives an empty one and an empty benchmark marks nothing;
 other columns are ignored by ``mark`` and kept by ``drop_contaminated``, whatever their names.
 """
 
@@ -38,7 +39,11 @@ def words(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def windows(items: list[tuple[str, str]], size: int = WINDOW) -> dict[str, tuple[int, tuple[str, ...]]]:
+def _ordered(ids: set[str | None]) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
+def windows(items: list[tuple[str | None, str]], size: int = WINDOW) -> dict[str, tuple[int, tuple[str, ...]]]:
     """Each distinct window's text, its word count and the items that hold it."""
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
@@ -46,7 +51,7 @@ def windows(items: list[tuple[str, str]], size: int = WINDOW) -> dict[str, tuple
         for at in range(max(1, len(own) - size + 1) if own else 0):
             part = own[at : at + size]
             found.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
-    return {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
+    return {k: (n, tuple(_ordered(ids))) for k, (n, ids) in found.items()}
 
 
 def automaton(found: dict[str, tuple[int, tuple[str, ...]]]):
@@ -93,7 +98,7 @@ def _bits(mask: bytes | None, n: int) -> np.ndarray | None:
 
 def _groups(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str):
     """Broadcast items of each group, dealt into blocks; a group's size is bounded before it is fetched."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // GROUP_BYTES)
     for k in range(n):
@@ -132,7 +137,7 @@ def _pass(name: str, group, text_at: int, finish):
                         if masks[at] is not None:
                             marked |= _bits(masks[at], len(marked))
                         masks[at] = np.packbits(marked).tobytes()
-                        items[at] += sorted(found)
+                        items[at] += _ordered(found)
             yield finish(frame, raws, masks, items, counts)
 
     return run
@@ -159,8 +164,8 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
         rows = []
         for raw, mask, items, n in zip(raws, masks, all_items, counts, strict=True):
             marked = _bits(mask, n)
-            n_hit, ids = 0 if marked is None else int(marked.sum()), sorted(set(items))
-            rows.append((n, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, "" if marked is None else spans(raw, marked)))
+            n_hit, ids = 0 if marked is None else int(marked.sum()), _ordered(set(items))
+            rows.append((n, n_hit, len(ids), hashlib.sha256(",".join(i for i in ids if i is not None).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, "" if marked is None else spans(raw, marked)))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
         return pa.RecordBatch.from_arrays([frame.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])

@@ -62,6 +62,22 @@ def test_decontamination(spark):
     assert decontamination.mark(spark, docs(spark, ["x y"]), bench.limit(0)).first().n_words == 2
 
 
+def test_decontamination_by_items_without_id(spark):
+    import duckdb
+
+    a, b, c = (words(20, s) for s in (41, 42, 43))
+    bench, table = [(None, a), (None, b), (7, c)], [(0, f"{a} {b}"), (1, f"{a} x {c}"), (2, c), (3, "clean"), (4, None)]
+    rows = decontamination.mark(spark, spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).drop("spans").collect()
+    con = duckdb.connect()
+    for name, key, values in (("documents", "doc_id", table), ("benchmark", "item_id", bench)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    assert sorted(map(tuple, rows)) == sorted(con.execute(decontamination.OP8_SQL).fetchall())
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in rows} == {0: (40, 1), 1: (40, 2), 2: (20, 1), 3: (0, 0), 4: (0, 0)}
+    kept = decontamination.drop_contaminated(spark, spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [words(20 + i, i) for i in range(12)]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate([*items, None])], "item_id long, text string")
