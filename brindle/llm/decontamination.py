@@ -91,6 +91,12 @@ def spans(raw: bytes, marked: np.ndarray) -> str:
     return ",".join(f"{points[begins[a]]}:{points[ends[b]]}" for a, b in zip(firsts, lasts, strict=True))
 
 
+def longest_run(marked: np.ndarray) -> int:
+    """The most marked words in a row."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.view(np.int8), [0]])))
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
 def _bits(mask: bytes | None, n: int) -> np.ndarray | None:
     """A packed mask's first n bits."""
     return None if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8))[:n].astype(bool)
@@ -176,14 +182,19 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text") -> DataFrame:
-    """The rows that are not contaminated, with all their columns."""
+    """The rows without benchmark passages, with all their columns.
+
+    A row goes when ``WINDOW`` words in a row are marked, in a text of any length, or when it is
+    contaminated by ``mark``'s rule. So a short item alone, which ordinary prose may hold by
+    chance, removes only a row that it makes up a twentieth of.
+    """
 
     def clean(frame, raws, masks, items, counts):
         import pyarrow as pa
 
-        n_hit = [0 if mask is None else int(_bits(mask, n).sum()) for mask, n in zip(masks, counts, strict=True)]
-        keep = pa.array([not (hit > 0 and 20 * hit >= n) for hit, n in zip(n_hit, counts, strict=True)], pa.bool_())
-        return frame.filter(keep).select(range(frame.num_columns - 3))
+        marks = [_bits(mask, n) for mask, n in zip(masks, counts, strict=True)]
+        keep = [m is None or not (longest_run(m) >= WINDOW or 20 * int(m.sum()) >= n) for m, n in zip(marks, counts, strict=True)]
+        return frame.filter(pa.array(keep, pa.bool_())).select(range(frame.num_columns - 3))
 
     wide = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return _marked(spark, docs, text_col, benchmark, bench_id, bench_text, clean, wide.schema).toDF(*docs.columns)

@@ -18,11 +18,13 @@ BROADCAST_BYTES = 48_000_000
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is made,
-    set for the session and removed at exit.
+    Only where that setting is absent and Spark runs on one machine (tests), a temporary folder
+    is made, set for the session and removed at exit; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="brindle-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
