@@ -1,4 +1,13 @@
-"""A corpus cleaning pipeline: each stage's rows are written as Parquet and read again as the next one's documents."""
+"""A corpus cleaning pipeline: each stage's rows are written as Parquet and read again as the next one's documents.
+
+Defined results, for every stage: a null text is the empty text; it is never toxic by itself
+nor contaminated, and of several one stays in exact_dedup; null ids are rows like any other,
+and a row with an id is preferred to them; of equal texts the largest id stays, of a class of
+near copies the least; rows that repeat id and text are one document; texts of any length are
+read whole; an empty table gives an empty table; columns beyond doc_id and text pass through
+all stages but the last, whatever their names. Without labels of both classes the toxicity
+stage has one score for all: it drops nothing unless all labels are toxic.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +32,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than a twentieth of benchmark words."""
+    """Documents without a benchmark passage: a window of 13 words in a text of any length, or a twentieth of its words."""
     return decontamination.drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
