@@ -14,8 +14,12 @@ strings cover are its context.
   their successors directly, all others induced by scanning the buckets, and neighbours
   among the starts that share LENGTH bytes are repeated.
 
-A task sorts about ``SORT_BYTES`` at a time. Contexts of one minimizer that together exceed
-``HOT_BYTES`` are compared in slabs of ``SLAB`` starts by 128-bit digests of their strings.
+Strings of up to ``RANKED`` bytes are ranked by doubling, so that the direct sort and the
+common prefixes compare ranks and not bytes. A task sorts about ``SORT_BYTES`` at a time. The
+contexts of a hot minimizer, which together exceed ``GROUP_BYTES``, are split into slabs of
+``SLABS`` starts before the shuffle, by the bytes that all strings of a slab share; a slab is
+sorted like a minimizer's contexts. Slabs of one start are strings: a group of any size is
+counted there, with the counts combined before the shuffle, and nothing is left to sort.
 
 Defined results: a null text is the empty text; texts shorter than LENGTH lose nothing;
 null and repeated ids are rows like any other; an empty table gives an empty table; other
@@ -34,9 +38,13 @@ from brindle.llm import shared
 
 LENGTH = 400
 GRAM = 64
-SORT_BYTES = 2_000_000
-HOT_BYTES = 24_000_000
-SLAB = 32
+#: Bytes of the longest strings that are ranked by doubling before they are sorted.
+RANKED = 64
+#: A task sorts about so many bytes at a time, and the contexts of one minimizer meet in a task up to so many.
+SORT_BYTES = 1_000_000
+GROUP_BYTES = 1_500_000
+#: Offsets of a slab, for the minimizers beyond and for their slabs that are still beyond.
+SLABS = (32, 1)
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -79,37 +87,66 @@ def minimizers(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return h[place[first]], first, np.append(first[1:], len(starts)) - 1
 
 
-def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as big-endian numbers."""
-    return np.lib.stride_tricks.sliding_window_view(text, 8)[at].copy().view(">u8").ravel().astype(np.uint64)
-
-
-def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of at most ``bits`` bits in order, and the place that each had."""
+    b = max(1, len(keys).bit_length())
+    if bits + b <= 64:  # key and place in one number: sorting numbers is several times as fast as sorting places
+        packed = np.sort(keys << np.uint64(b) | np.arange(len(keys), dtype=np.uint64))
+        return packed >> np.uint64(b), (packed & np.uint64((1 << b) - 1)).astype(np.int64)
+    by = np.argsort(keys, kind="stable")
+    return keys[by], by
+
+
+def string_ranks(text: np.ndarray, depth: int = LENGTH) -> dict[int, np.ndarray]:
+    """For 2, 4, ... ``RANKED`` bytes: the rank of the string at each place, with zeros after the end."""
+    found = np.concatenate([text, np.zeros(depth + RANKED, np.uint8)]).astype(np.uint64)
+    found = found << np.uint64(8) | np.append(found[1:], np.uint64(0))
+    ranks, size, bits = {2: found}, 2, 16
+    while size < RANKED:
+        keys, places = _in_order(found << np.uint64(bits) | np.append(found[size:], np.full(size, found[-1])), 2 * bits)
+        found = np.empty(len(keys), np.uint64)
+        found[places] = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])).astype(np.uint64)
+        size, bits = 2 * size, max(1, int(found.max()).bit_length())
+        ranks[size] = found
+    return ranks
+
+
+def _stretches(depth: int) -> list[tuple[int, int]]:
+    """(offset, size) of the ranked strings that make up the first ``depth`` (an even number of) bytes."""
+    found, at = [], 0
+    while at < depth:
+        size = RANKED
+        while size > depth - at:
+            size //= 2
+        found.append((at, size))
+        at += size
+    return found
+
+
+def suffix_order(text: np.ndarray, depth: int = LENGTH, ranks: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """All suffixes in the order of their first ``depth`` bytes, by two-stage sorting."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    ranks = string_ranks(text, depth) if ranks is None else ranks
     nxt = np.append(text[1:].astype(np.int16), -1)
     differs = text != nxt
     turn = np.where(differs, np.arange(n), n)  # the first place from here on where the next byte differs
     turn = np.minimum.accumulate(turn[::-1])[::-1]
     small = (text < nxt)[turn]  # the suffix is smaller than its successor
-    direct = np.flatnonzero(small)
-    group = np.zeros(len(direct), np.int64)
-    order = direct
-    active = np.arange(len(direct))
-    for at in range(0, depth, 8):
+    order = np.flatnonzero(small)
+    group = np.zeros(len(order), np.uint64)
+    active = np.arange(len(order))
+    for at, size in _stretches(depth):
         if not len(active):
             break
-        keys = _words(padded, order[active] + at)
-        by = np.lexsort((keys, group[active]))
-        order[active] = order[active][by]
-        keys, own = keys[by], group[active]  # groups are contiguous and stay where they are
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])
-        group[active] = active[np.maximum.accumulate(np.where(fresh, np.arange(len(active)), 0))]
-        alone = fresh & np.append(fresh[1:], True)
-        active = active[~alone]
+        own = ranks[size]
+        bits = max(1, int(own.max()).bit_length())
+        keys, by = _in_order(group[active] << np.uint64(bits) | own[order[active] + at], bits + len(order).bit_length())
+        order[active] = order[active][by]  # groups are contiguous and stay where they are
+        fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
+        group[active] = active[np.maximum.accumulate(np.where(fresh, np.arange(len(active)), 0))].astype(np.uint64)
+        active = active[~(fresh & np.append(fresh[1:], True))]
     sizes, n_direct = np.bincount(text, minlength=256), np.bincount(text[order], minlength=256)
     ends = np.cumsum(sizes)
     head = (ends - sizes).tolist()
@@ -145,13 +182,12 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Whether each suffix of the order shares its first ``depth`` bytes (a multiple of 8) with the one before."""
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+def common_prefixes(order: np.ndarray, ranks: dict[int, np.ndarray], depth: int = LENGTH) -> np.ndarray:
+    """Whether each suffix of the order shares its first ``depth`` bytes with the one before."""
     same = np.zeros(len(order), bool)
     active = np.arange(1, len(order))
-    for at in range(0, depth, 8):
-        active = active[_words(padded, order[active] + at) == _words(padded, order[active - 1] + at)]
+    for at, size in _stretches(depth):
+        active = active[ranks[size][order[active] + at] == ranks[size][order[active - 1] + at]]
     same[active] = True
     return same
 
@@ -164,33 +200,15 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndar
     valid = np.zeros(len(text), bool)
     for b, size in zip(begins.tolist(), sizes.tolist(), strict=True):
         valid[b : b + size - length + 1] = True
-    order = suffix_order(text, length)
+    ranks = string_ranks(text, length)
+    order = suffix_order(text, length, ranks)
     order = order[valid[order]]
-    same = common_prefixes(text, order, length)
+    same = common_prefixes(order, ranks, length)
     hit = np.zeros(len(text), bool)
     hit[order[same | np.append(same[1:], False)]] = True
     return [np.flatnonzero(hit[b : b + max(0, size - length + 1)]) for b, size in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
-def repeated_by_slabs(contexts: list[bytes], places: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """The same for one minimizer's many contexts; ``places`` are the minimizer's offsets, which align equal strings."""
-    found: list[list[int]] = [[] for _ in contexts]
-    low, high = -max(places), max(len(c) - length - p for c, p in zip(contexts, places, strict=True))
-    for slab in range(low, high + 1, SLAB):
-        seen: dict[bytes, tuple[int, int] | None] = {}
-        for i, (context, place) in enumerate(zip(contexts, places, strict=True)):
-            for start in range(max(0, place + slab), min(place + slab + SLAB, len(context) - length + 1)):
-                key = hashlib.blake2b(context[start : start + length], digest_size=16).digest()
-                if key not in seen:
-                    seen[key] = i, start
-                    continue
-                if seen[key]:
-                    found[seen[key][0]].append(seen[key][1])
-                    seen[key] = None
-                found[i].append(start)
-    return [np.array(sorted(f), np.int64) for f in found]
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for begin, end in sorted(spans):
@@ -201,10 +219,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _place(context: bytes, hashed: int) -> int:
-    """Offset of a context's minimizer: its first start's string holds it, at its leftmost place."""
-    grams = np.flatnonzero(_grams(context[:LENGTH], GRAM).view(np.int64) == hashed)
-    return int(grams[0])
+def slabs(raw: bytes, hashed: int, first: int, last: int, size: int) -> list[tuple[int, int, int, int]]:
+    """(key, context, first, last) of a run's starts in slabs of ``size`` offsets from the minimizer.
+
+    The key is a digest of the minimizer, the slab and the bytes that all strings of the slab
+    have in common, so equal strings have equal keys. Slabs of one start are whole strings.
+    """
+    place = first + int(np.flatnonzero(_grams(raw[first : first + LENGTH], GRAM).view(np.int64) == hashed)[0])
+    digest = lambda *parts: int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+    found, start, low = [], first, place - (LENGTH - GRAM)  # a string holds its minimizer, so no start is before
+    while start <= last:
+        slab = (start - low) // size
+        begin, stop = low + slab * size, min(last, low + slab * size + size - 1)
+        key = digest(hashed.to_bytes(8, "little", signed=True), slab.to_bytes(2, "little"), raw[begin + size - 1 : begin + LENGTH])
+        found.append((key, digest(raw[start : stop + LENGTH]), start, stop))
+        start = stop + 1
+    return found
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -243,27 +273,35 @@ def _cut(frames):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "digest", "first", "alone", "context"])
 
 
+def _slabbed(size: int):
+    """Slabs of the wanted runs, from rows (text, wanted)."""
+
+    def run(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            for text, wanted in zip(frame.column("text"), frame.column("wanted"), strict=True):
+                raw, table = text.as_py().encode(), []
+                for w in wanted.as_py():
+                    table += [(w["digest"], w["gram"], *slab, w["alone"]) for slab in slabs(raw, w["gram"], w["first"], w["last"], size)]
+                columns = list(zip(*table, strict=True)) or [[]] * 7
+                kinds = (pa.binary(), *[pa.int64()] * 5, pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "gram", "hash", "context", "first", "last", "alone"])
+
+    return run
+
+
 def _sorted_contexts(frames):
     """(digest, begin, end) removed runs, from contexts that come ordered by hash."""
     import pyarrow as pa
 
     held: list[tuple] = []  # (hash, digest, first, alone, context)
 
-    def resolve(rows):
-        sizes: dict[int, int] = {}
-        for r in rows:
-            sizes[r[0]] = sizes.get(r[0], 0) + len(r[4])
+    def resolve():
         out = []
-        cold = [r for r in rows if sizes[r[0]] <= HOT_BYTES]
-        hot = [[r for r in rows if r[0] == h] for h, size in sizes.items() if size > HOT_BYTES]
-        jobs = [(cold, repeated_starts([r[4] for r in cold]))] if cold else []
-        for own in hot:
-            places = [_place(r[4], r[0]) for r in own]
-            jobs.append((own, repeated_by_slabs([r[4] for r in own], places)))
-        for own, found in jobs:
-            for (_, digest, first, alone, _), starts in zip(own, found, strict=True):
-                if alone and len(starts):
-                    out += [(digest, first + b, first + e) for b, e in merged([(s, s + LENGTH) for s in starts.tolist()])]
+        for (_, digest, first, alone, _), starts in zip(held, repeated_starts([r[4] for r in held]), strict=True):
+            if alone and len(starts):
+                out += [(digest, first + b, first + e) for b, e in merged([(s, s + LENGTH) for s in starts.tolist()])]
         columns = list(zip(*out, strict=True)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["digest", "begin", "end"])
 
@@ -271,12 +309,41 @@ def _sorted_contexts(frames):
     for frame in frames:
         for row in zip(*[c.to_pylist() for c in frame.columns], strict=True):
             if held and size >= SORT_BYTES and row[0] != held[-1][0]:
-                yield resolve(held)
+                yield resolve()
                 held, size = [], 0
             held.append(row)
             size += len(row[4])
     if held:
-        yield resolve(held)
+        yield resolve()
+
+
+def _texts_of(rows: DataFrame, kinds: DataFrame, at: str) -> DataFrame:
+    """(text, wanted) of the texts that represent the kinds (hash, n, alone, one): each once, however many rows repeat it."""
+    wanted = kinds.select(F.col("one.digest").alias("digest"), F.struct("hash", "one.gram", F.col("one.digest").alias("digest"), F.col("one.first").alias("first"), F.col("one.last").alias("last"), "alone").alias("w"))
+    wanted = shared.written(wanted.groupBy("digest").agg(F.collect_list("w").alias("wanted")), at)  # of one text
+    if wanted.count() * 80 <= shared.BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(wanted.select("digest")), "digest", "left_semi")
+    return rows.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest").select("text", "wanted")
+
+
+def _resolved(spark: SparkSession, rows: DataFrame, each: DataFrame, at: str, sizes: tuple[int, ...]) -> list[DataFrame]:
+    """(digest, begin, end) frames for the runs ``each`` (digest, gram, hash, context, first, last, alone); gram is their minimizer, hash what brings them together."""
+    kinds = each.groupBy("hash", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "first", "last", "alone", "gram")).alias("one"))
+    kinds = shared.written(kinds.withColumn("alone", (F.col("n") == 1) & F.col("one.alone")), f"{at}/kinds")
+    equal = each.where("alone").join(shared.written(kinds.where("n > 1").select("hash", "context"), f"{at}/equal"), ["hash", "context"])
+    found = [equal.select("digest", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))]
+    groups = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.expr(f"one.last - one.first + {LENGTH}")).alias("bytes")).where("kinds > 1")
+    groups = shared.written(groups, f"{at}/groups")
+    cold = kinds.join(groups.where(F.col("bytes") <= GROUP_BYTES).select("hash"), "hash")
+    contexts = _texts_of(rows, cold, f"{at}/wanted").mapInArrow(_cut, "hash long, digest binary, first long, alone boolean, context binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found.append(contexts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_sorted_contexts, "digest binary, begin long, end long"))
+    hot = groups.where(F.col("bytes") > GROUP_BYTES).select("hash")
+    if sizes and not hot.isEmpty():
+        schema = "digest binary, gram long, hash long, context long, first long, last long, alone boolean"
+        finer = shared.written(_texts_of(rows, kinds.join(hot, "hash"), f"{at}/hot").mapInArrow(_slabbed(sizes[0]), schema), f"{at}/slabs")
+        found += _resolved(spark, rows, finer, f"{at}/{sizes[0]}", sizes[1:])
+    return found
 
 
 def removed_runs(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
@@ -284,22 +351,15 @@ def removed_runs(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
     runs = shared.written(
         _runs(rows).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "hashes", "contexts", "firsts", "lasts")]), f"{at}/runs"
     )
-    whole = runs.where(f"copies > 1 AND n >= {LENGTH}").select("digest", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
-    each = runs.where("copies = 1 OR size(hashes) > 0").select("digest", F.explode(F.arrays_zip("hashes", "contexts", "firsts", "lasts")).alias("r"))
-    each = each.select("digest", F.col("r.hashes").alias("hash"), F.col("r.contexts").alias("context"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"))
+    found = runs.where(f"copies > 1 AND n >= {LENGTH}").select("digest", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
     often = runs.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    often = shared.written(often, f"{at}/often")  # so that the join below is of two plain shuffles, whose hot partitions can be split
+    each = runs.select("digest", (F.col("copies") == 1).alias("alone"), F.explode(F.arrays_zip("hashes", "contexts", "firsts", "lasts")).alias("r"))
+    each = each.select("digest", F.col("r.hashes").alias("hash"), F.col("r.contexts").alias("context"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"), "alone", F.col("r.hashes").alias("gram"))
     each = shared.written(each.join(often, "hash"), f"{at}/repeated")
-    kinds = each.groupBy("hash", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "first", "last")).alias("one"))
-    kinds = shared.written(kinds, f"{at}/kinds")
-    equal = each.join(kinds.where("n > 1").select("hash", "context"), ["hash", "context"]).select("digest", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
-    several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("hash")
-    wanted = kinds.join(several, "hash").select(F.col("one.digest").alias("digest"), F.struct("hash", F.col("one.digest").alias("digest"), F.col("one.first").alias("first"), F.col("one.last").alias("last"), (F.col("n") == 1).alias("alone")).alias("w"))
-    wanted = shared.written(wanted.groupBy("digest").agg(F.collect_list("w").alias("wanted")), f"{at}/wanted")  # of one text
-    texts = rows.join(wanted, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    contexts = texts.select("text", "wanted").mapInArrow(_cut, "hash long, digest binary, first long, alone boolean, context binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_runs = contexts.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_sorted_contexts, "digest binary, begin long, end long")
-    return whole.unionByName(equal).unionByName(sorted_runs)
+    for part in _resolved(spark, rows, each, at, SLABS):
+        found = found.unionByName(part)
+    return found
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

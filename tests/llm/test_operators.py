@@ -150,7 +150,7 @@ def covered(raws, size=400):
     seen, marks = {}, [np.zeros(len(r), bool) for r in raws]
     for i, raw in enumerate(raws):
         for j in range(len(raw) - size + 1):
-            k = raw[j : j + size]
+            k = hashlib.blake2b(raw[j : j + size], digest_size=12).digest()
             if k in seen:
                 for a, b in {seen[k], (i, j)}:
                     marks[a][b : b + size] = True
@@ -167,9 +167,28 @@ def test_suffix_dedup(spark):
     for mark, raw, row in zip(covered(raws), raws, sorted(rows, key=lambda r: r.doc_id), strict=True):
         kept = np.frombuffer(raw, np.uint8)[~mark].tobytes()
         assert (row.n_bytes, row.n_removed, row.kept_sha256) == (len(raw), int(mark.sum()), hashlib.sha256(kept).hexdigest())
-    own = [(a[:700]).encode(), ("zz" + a[2:690]).encode() + b"yy"]
-    h, first, last = suffix_dedup.minimizers(own[0])
-    assert [x.tolist() for x in suffix_dedup.repeated_starts(own)] == [x.tolist() for x in suffix_dedup.repeated_by_slabs(own, [0, 0])]
+
+
+def test_suffix_dedup_of_hot_groups_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1500)  # nearly every group is hot, and so are many of its slabs
+    r = random.Random(14)
+    base, other = words(120, 15), words(120, 16)
+    texts = [base[:k] + chr(97 + k % 26) + base[k + 1 :] for k in range(0, 700, 35)] + [other[r.randint(0, 40) :] + words(9, 60 + i) for i in range(12)] + ["ab" * 500, "", None, base, base]
+    rows = [(None if i in (2, 5) else 7 if i in (3, 4) else i, t, "x", 1) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, digest string, hash int")
+    raws = [(t or "").encode() for t in texts]
+    wanted = sorted((str(row[0]), len(raw), int(mark.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~mark].tobytes()).hexdigest()) for row, raw, mark in zip(rows, raws, covered(raws), strict=True))
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.kept_sha256) for x in suffix_dedup.dedup(spark, table).collect()) == wanted
+    assert suffix_dedup.dedup(spark, table.limit(0)).count() == 0
+
+
+def test_suffix_dedup_of_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {x.doc_id: (x.text or "").encode() for x in table.collect()}
+    marks = dict(zip(texts, covered(list(texts.values())), strict=True))
+    for row in suffix_dedup.op3_suffix_dedup(spark, "/root/testdata/sf0.01").collect():
+        kept = np.frombuffer(texts[row.doc_id], np.uint8)[~marks[row.doc_id]].tobytes()
+        assert (row.n_removed, row.kept_sha256) == (int(marks[row.doc_id].sum()), hashlib.sha256(kept).hexdigest())
 
 
 def test_near_dedup(spark):
