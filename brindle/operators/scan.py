@@ -20,7 +20,7 @@ CARD = r"[0-9][0-9 -]{11,22}[0-9]"
 def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, name, value, start, line, column) of each assignment in column text."""
     text = F.col(text_col)
-    hits = docs.where(text.rlike(WHOLE_ASSIGNMENT)).select(F.col(id_col).alias("id"), text.alias("text"), F.explode(spans.matches(text, WHOLE_ASSIGNMENT)).alias("m"))
+    hits = docs.where(text.rlike(WHOLE_ASSIGNMENT)).select(F.col(id_col).alias("id"), text.alias("text"), F.explode(spans.matches(text_col, WHOLE_ASSIGNMENT)).alias("m"))
     own = F.regexp_replace("m.match", "^[0-9.-]+", "")
     start = F.col("m.start") + F.char_length("m.match") - F.char_length(own)
     return hits.select(
@@ -46,7 +46,7 @@ def assignment_findings(found: DataFrame) -> DataFrame:
 def cards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, n_digits) of payment card numbers."""
     text = F.col(text_col)
-    hits = docs.where(text.rlike(CARD)).select(F.col(id_col).alias("id"), F.explode(spans.matches(text, CARD)).alias("m"))
+    hits = docs.where(text.rlike(CARD)).select(F.col(id_col).alias("id"), F.explode(spans.matches(text_col, CARD)).alias("m"))
     return hits.where(values.is_card(F.col("m.match"))).select("id", F.col("m.start").alias("start"), F.char_length(F.regexp_replace("m.match", "[ -]", "")).alias("n_digits"))
 
 
@@ -70,7 +70,7 @@ def key_blocks(docs: DataFrame, id_col: str = "path", text_col: str = "text") ->
     """(id, label, start) of PEM private-key blocks whose BEGIN and END labels agree."""
     label = r"([ A-Z0-9]*PRIVATE KEY(?: BLOCK)?)"
     pattern = rf"-{{4,5}} ?BEGIN {label} ?-{{4,5}}[ \t]*\r?\n[^-]*[A-Za-z0-9+/]{{20}}[^-]*-{{4,5}} ?END {label} ?-{{4,5}}"
-    hits = docs.select(F.col(id_col).alias("id"), F.explode(spans.matches(F.col(text_col), pattern)).alias("m"))
+    hits = docs.select(F.col(id_col).alias("id"), F.explode(spans.matches(text_col, pattern)).alias("m"))
     first, second = F.regexp_extract("m.match", pattern, 1), F.regexp_extract("m.match", pattern, 2)
     return hits.where(first == second).select("id", first.alias("label"), F.col("m.start").alias("start"))
 

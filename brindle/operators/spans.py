@@ -7,18 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions import arrays
 from brindle.sources import signatures
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (match, start): all matches of a pattern with their 0-based code-point offsets."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("match")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int>>").alias("out"))
-    step = lambda s, p: F.struct(
-        (s["at"] + p["gap"] + F.char_length(p["match"])).alias("at"), F.concat(s["out"], F.array(F.struct(p["match"].alias("match"), (s["at"] + p["gap"]).alias("start")))).alias("out")
-    )
-    return F.aggregate(pairs, begin, step, lambda s: s["out"])
+def matches(text: str, pattern: str) -> Column:
+    """Array of (match, start): all matches of a pattern in a column, with their 0-based code-point offsets."""
+    p = arrays.literal(pattern)
+    pair = "(p, m) -> named_struct('gap', char_length(p), 'match', m)"
+    pairs = arrays.let("found", f"regexp_extract_all({text}, {p}, 0)", f"zip_with(slice(split({text}, {p}, -1), 1, size(found)), found, {pair})")
+    placed = arrays.running(pairs, "STRUCT<gap: INT, match: STRING>", lambda x: f"{x}.gap + char_length({x}.match)", lambda a, b: f"{a} + {b}", 0)
+    return F.expr(f"transform({placed}, e -> named_struct('match', e.item.match, 'start', e.before + e.item.gap))")
 
 
 def line_of(text: Column, offset: Column) -> Column:

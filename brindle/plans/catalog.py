@@ -48,7 +48,7 @@ def document_signatures(spark, sf_dir):
 
 
 def page_attributes(spark, sf_dir):
-    found = _read(spark, sf_dir, "pages").select("page_id", F.explode(spans.matches(F.col("html"), ATTRIBUTE)).alias("m"))
+    found = _read(spark, sf_dir, "pages").select("page_id", F.explode(spans.matches("html", ATTRIBUTE)).alias("m"))
     return found.select("page_id", F.lower(F.regexp_extract("m.match", ATTRIBUTE, 1)).alias("name"), F.regexp_extract("m.match", ATTRIBUTE, 2).alias("value"), F.col("m.start").alias("start"))
 
 
