@@ -3,12 +3,12 @@
 The lexicon is learned: words whose document counts in toxic and other labelled rows differ
 by a likelihood-ratio test of ``EVIDENCE``. It is kept as a trie. Each new word of a text
 becomes a bit-parallel Levenshtein automaton, which walks the trie and finds the terms
-within one edit, so misspelled terms count too. Around each hit a window of ``CONTEXT``
+within one edit or swap of neighbours, so misspelled terms count too. Around each hit a window of ``CONTEXT``
 words tells quotation (quotation marks, words about words) from abuse. The weights of exact,
 misspelled and quoted hits come from a logistic regression on labelled rows.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows; the lexicon has at most ``TERMS`` terms,
-which bounds what is sent to the executors. Scoring covers every word of every text.
+The fit uses at most ``SAMPLE_ROWS`` labelled rows, which bounds what is sent to the executors;
+every word of them that passes the test is a term. Scoring covers every word of every text.
 
 Defined results: null and empty texts have no hits and so the score of a text without
 evidence; without labels of both classes every score is the share of label 1 (0 without
@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from brindle.llm import classify, shared
 
 SAMPLE_ROWS = 20_000
-TERMS = 500
 EVIDENCE = 20.0
 CONTEXT = 4
 #: Terms shorter than this match only exactly.
-SHORTEST_FUZZY = 5
+SHORTEST_FUZZY = 4
 THRESHOLD = 0.3
 #: Words that a worker remembers as harmless; when there are more it starts anew.
 CACHE_WORDS = 400_000
@@ -51,6 +50,7 @@ class Lexicon:
         self.terms = {t: i for i, t in enumerate(terms)}
         heads: dict[int, set[str]] = {}
         tails: dict[int, set[str]] = {}
+        self.crossed: set[tuple[str, str]] = set()  # what a swap across the middle leaves as it is
         for i, term in enumerate(terms):
             node = self.trie
             for letter in term:
@@ -58,6 +58,7 @@ class Lexicon:
             node[""] = i
             if len(term) >= SHORTEST_FUZZY:  # one edit leaves the first or the second half as it is
                 half = len(term) // 2
+                self.crossed.add((term[: half - 1], term[half + 1 :]))
                 for length in (len(term) - 1, len(term), len(term) + 1):
                     heads.setdefault(length, set()).add(term[:half])
                     tails.setdefault(length, set()).add(term[half:])
@@ -72,12 +73,14 @@ class Lexicon:
             for n, own in halves[1]:
                 if word[-n:] in own:
                     return True
-        return False
+        half = len(word) // 2
+        return half > 0 and (word[: half - 1], word[half + 1 :]) in self.crossed
 
     def near(self, word: str) -> list[tuple[int, int]]:
         """(term, distance) for distances 0 and 1: the word's automaton runs along the trie.
 
-        Bit j of a state stands for j letters of the word read, with no edit and with at most one.
+        Bit j of a state stands for j letters of the word read: with no edit, with at most one, and
+        with none but the next two letters swapped.
         """
         if word in self.terms:
             return [(self.terms[word], 0)]
@@ -87,9 +90,9 @@ class Lexicon:
         for j, letter in enumerate(word):
             places[letter] = places.get(letter, 0) | 1 << j
         end, found = 1 << len(word), []
-        stack = [(self.trie, 1, 0b11, 0)]
+        stack = [(self.trie, 1, 0b11, 0, 0)]
         while stack:
-            node, none, one, depth = stack.pop()
+            node, none, one, swap, depth = stack.pop()
             for letter, child in node.items():
                 if letter == "":
                     if one & end and depth >= SHORTEST_FUZZY:
@@ -97,9 +100,9 @@ class Lexicon:
                     continue
                 at = places.get(letter, 0)
                 none_next = (none & at) << 1
-                one_next = (one & at) << 1 | none | none << 1 | none_next << 1
+                one_next = (one & at) << 1 | none | none << 1 | none_next << 1 | (swap & at) << 2
                 if one_next & (end << 1) - 1:
-                    stack.append((child, none_next, one_next & (end << 1) - 1, depth + 1))
+                    stack.append((child, none_next, one_next & (end << 1) - 1, none & at >> 1, depth + 1))
         return found
 
 
@@ -155,14 +158,6 @@ class Scorer:
         return classify.probability(self.weights[0] + np.array([self.features(t) for t in texts]) @ self.weights[1:])
 
 
-def _evidence(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
-    """Twice the log-likelihood ratio of a word's counts against the classes' shares; 0 where it isn't a toxic sign."""
-    n, share = pos + neg, n_pos / (n_pos + n_neg)
-    if pos <= n * share:
-        return 0.0
-    return 2 * (pos * math.log(pos / (n * share)) + (neg * math.log(neg / (n * (1 - share))) if neg else 0))
-
-
 def _odds(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
     return math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
 
@@ -178,9 +173,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))).alias("word"))
     words = words.groupBy("word").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     words = shared.written(words, f"{at}/words")
-    signs = words.where(f"pos >= 3 AND length(word) >= 3 AND pos * {n_neg} > 4 * neg * {n_pos}").orderBy(F.desc("pos"), "neg", "word").limit(20 * TERMS).collect()
-    ranked = sorted(((-_evidence(r["pos"], r["neg"], n_pos, n_neg), r["word"], _odds(r["pos"], r["neg"], n_pos, n_neg)) for r in signs))[:TERMS]
-    chosen = [(w, o) for e, w, o in ranked if -e >= EVIDENCE]
+    share = n_pos / (n_pos + n_neg)  # twice the log-likelihood ratio of a word's counts against the classes' shares
+    ratio = f"2 * (pos * ln(pos / ((pos + neg) * {share!r}D)) + IF(neg > 0, neg * ln(neg / ((pos + neg) * {1 - share!r}D)), 0))"
+    signs = words.where(f"pos >= 3 AND length(word) >= 3 AND pos * {n_neg} > 4 * neg * {n_pos} AND {ratio} >= {EVIDENCE}").collect()  # words of at most ``rows`` texts
+    chosen = sorted((r["word"], _odds(r["pos"], r["neg"], n_pos, n_neg)) for r in signs)
     terms, exact = [w for w, _ in chosen], [o for _, o in chosen]
 
     def misspelled(frames):
@@ -230,7 +226,7 @@ def _scored(frame, text_at: int, state) -> np.ndarray:
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     fitted = fit(spark, docs, labels)
-    state = fitted if isinstance(fitted, float) else fitted.state  # at most TERMS terms
+    state = fitted if isinstance(fitted, float) else fitted.state  # a lexicon of words of a bounded sample
 
     def run(frames):
         import pyarrow as pa
