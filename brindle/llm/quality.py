@@ -5,8 +5,9 @@ in chunks of ``CHUNK`` bytes with either dictionary; the difference of the two c
 sizes by its length, calibrated by a logistic regression on labelled rows that built no
 dictionary, is the score. All bytes of every text are compressed.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows and, of each, at most ``SAMPLE_CHARS``
-characters from its middle; these bounds keep the driver small and don't touch scoring.
+The fit uses at most ``SAMPLE_ROWS`` labelled rows, each whole. Half of them build the
+dictionaries, on the driver; the other half's sizes for the calibration are taken on the
+executors, and two numbers a row come back.
 
 Defined results: null and empty texts have a difference of 0 and so the score that the
 calibration gives to no evidence; without labels of both classes every score is the share
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from brindle.llm import classify, shared
 
 SAMPLE_ROWS = 8000
-SAMPLE_CHARS = 16_384
 CHUNK = 2048
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
@@ -64,26 +64,30 @@ class Scorer:
         return classify.probability(self.weights[0] + np.array([self.features(r) for r in raws]) @ self.weights[1:])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Scorer | float:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer | float:
     """A scorer, or the one score that there is without labels of both classes."""
-    sample = classify.labelled_sample(docs, labels, "quality", 5, 0, rows)
-    middle = F.when(F.length("text") > chars, F.substring("text", ((F.length("text") - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(F.col("text"))
-    parts = shared.written(sample.select("doc_id", "label", middle.alias("part")), f"{shared.work_dir(docs.sparkSession, 'quality')}/sample")
-    found = sorted((r["doc_id"], r["label"], r["part"].encode()) for r in parts.toLocalIterator())
-    y = np.array([label for _, label, _ in found], float)
-    if len(set(y)) < 2:
-        return float(y[0]) if len(y) else 0.5
-    folds = np.zeros(len(y), int)
-    for label in (0, 1):
-        folds[y == label] = np.arange((y == label).sum()) % 2
-    of = lambda label, fold: [found[i][2] for i in np.flatnonzero((y == label) & ((folds == fold) if (y == label).sum() > 1 else True))]
-    good, bad = _dictionary(of(1, 0)), _dictionary(of(0, 0))
-    raw = Scorer(good, bad, [0, 0, 0])
-    rest = np.flatnonzero(folds == 1)
-    if len(set(y[rest])) < 2:
-        rest = np.arange(len(y))
-    weights = classify.logistic(np.array([raw.features(found[i][2]) for i in rest]), y[rest], ridge=0.1)
-    return Scorer(good, bad, weights.tolist())
+    sample = classify.labelled_sample(docs, labels, "quality", 5, 0, rows).select("doc_id", "label", "text")
+    sample = shared.written(sample, f"{shared.work_dir(docs.sparkSession, 'quality')}/sample")
+    ids = sorted((r["label"], r["doc_id"]) for r in sample.select("label", "doc_id").distinct().collect())  # at most ``rows``
+    if len({label for label, _ in ids}) < 2:
+        return float(ids[0][0]) if ids else 0.5
+    of = {label: [i for own, i in ids if own == label] for label in (0, 1)}
+    builds = {i for own in of.values() for i in (own[::2] if len(own) > 1 else own)}
+    rest = [i for own in of.values() for i in own[1::2]]
+    rest = set(rest if all(len(own) > 1 for own in of.values()) else [i for _, i in ids])
+    found = sorted((r["doc_id"], r["label"], r["text"]) for r in sample.where(F.col("doc_id").isin(*builds)).toLocalIterator())
+    good, bad = (_dictionary([text.encode() for _, own, text in found if own == label]) for label in (1, 0))
+
+    def sizes(frames):
+        import pyarrow as pa
+
+        raw = Scorer(good, bad, [0, 0, 0])
+        for frame in frames:
+            x = [raw.features(text.encode()) for text in frame.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([frame.column(0), *[pa.array([v[k] for v in x], pa.float64()) for k in (0, 1)]], ["label", "a", "b"])
+
+    table = np.array(sorted(map(tuple, sample.where(F.col("doc_id").isin(*rest)).select("label", "text").mapInArrow(sizes, "label int, a double, b double").collect())))
+    return Scorer(good, bad, classify.logistic(table[:, 1:], table[:, 0], ridge=0.1).tolist())
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
