@@ -3,9 +3,9 @@
 The keyed state lives in RocksDB below the shared checkpoint folder and never expires. It
 holds, for each SHA-256 digest, the stable identifier and content locator (the file) of the
 row that stays, and the number of rows. State is a Structured Streaming aggregation, so a
-copy group of any size is combined before the shuffle. Rows that hit an occupied digest are
-then compared byte by byte with the row that stays; digests that hide different texts are
-split by the texts themselves.
+copy group of any size is combined before the shuffle. The whole texts of rows that hit an
+occupied digest are then compared; digests that hide different texts are split by the texts
+themselves. The locator tells a caller where the row that stays is read from.
 
 Defined results: a null text is the empty text; of equal texts the largest id stays (a null
 id is smaller than any other); rows that repeat both id and text are one document read more
@@ -70,11 +70,13 @@ def update_state(spark: SparkSession, digest_path: str, state_path: str, schema)
 
 
 def _collisions(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests under which rows differ from the row that stays, found by comparing all bytes."""
-    shared_digests = shared.broadcast_within(state.where("group_size > 1").select("digest", F.col("keeper.doc_id").alias("keep_id")), 80)
-    hits = docs.join(shared_digests, "digest")
-    kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("text").alias("kept_text"))
-    return hits.join(kept, "digest").where(~F.col("text").eqNullSafe(F.col("kept_text"))).select("digest").distinct()
+    """Digests that hide different texts, found by comparing all bytes of the rows that hit an occupied digest.
+
+    Equal texts are combined before the shuffle, so a copy group of any size sends a text per task.
+    """
+    hit = shared.broadcast_within(state.where("group_size > 1").select("digest"), 60)
+    texts = docs.join(hit, "digest", "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
