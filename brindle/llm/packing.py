@@ -167,7 +167,8 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, capacity: int =
 
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = own.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # Counts have a row per task and length, so they are merged and not broadcast.
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
