@@ -3,9 +3,10 @@
 A text's k-mers are its shingles of five words, each labelled with its occurrence number.
 For every hash function the ``LENGTH`` least labelled k-mers are sampled and kept in their
 text order; ``ROWS`` such samples make a band's key. Texts that share a band key are
-candidates, all of them: those of buckets of up to ``ALL_PAIRS`` texts as pairs, those of larger
-ones in tasks of two blocks of texts each, which give counts and joining links and no row per pair.
-A candidate is verified by banded alignment of the two shingle sequences: with
+candidates, all of them. Buckets of up to ``ALL_PAIRS`` texts make pairs. In a larger one every
+text is first held against ``PIVOTS`` texts of the bucket; what is still in different classes
+then is compared in full, in tasks of two blocks of texts each. So no link that joins two
+classes is lost, and only pairs whose ends are in one class already go uncompared. A candidate is verified by banded alignment of the two shingle sequences: with
 M aligned shingles of n and m, the similarity M / (n + m - M) must be 0.8 or more. Linked
 texts form classes (connected components); exact copies share a class from the start.
 
@@ -35,8 +36,9 @@ SIMILARITY = 0.8
 LENGTH = 2
 ROWS = 3
 BANDS = 24
-#: Buckets up to this size make pairs; larger ones are compared block by block.
+#: Buckets up to this size make pairs; the texts of larger ones are held against so many of them first.
 ALL_PAIRS = 16
+PIVOTS = 4
 #: About so many texts, and bytes of text, make a block.
 BLOCK = 500
 BLOCK_BYTES = 4_000_000
@@ -193,13 +195,18 @@ def similar(a: np.ndarray, a_labelled: np.ndarray, b: np.ndarray, b_labelled: np
     return got is not None and got >= need
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """(u, v) of the rows (u, v, u_text, v_text) that are similar. Rows of one v come together, so it is read once."""
+def _verified(pairs: DataFrame, texts: DataFrame, first_only: bool) -> DataFrame:
+    """(u, v) of the pairs (u, v, turn) that are similar; with ``first_only``, of each v's pairs the first by turn that is.
+
+    Rows of one v come together, so it is read once.
+    """
+    with_u = pairs.join(texts.select(F.col("digest").alias("u"), F.col("text").alias("u_text")), "u")
+    both = with_u.join(texts.select(F.col("digest").alias("v"), F.col("text").alias("v_text")).hint("merge"), "v").sortWithinPartitions("v", "turn")
 
     def run(frames):
         import pyarrow as pa
 
-        last, parsed = None, None
+        last, parsed, done = None, None, False
 
         def parse(text):
             hashes, counts = shingles([text.encode()])
@@ -209,21 +216,28 @@ def _verified(pairs: DataFrame) -> DataFrame:
             keep = []
             for v, u_text, v_text in zip(*[frame.column(c).to_pylist() for c in ("v", "u_text", "v_text")], strict=True):
                 if v != last:
-                    last, parsed = v, parse(v_text)
-                keep.append(similar(*parse(u_text), *parsed))
+                    last, parsed, done = v, parse(v_text), False
+                keep.append(not (done and first_only) and similar(*parse(u_text), *parsed))
+                done |= keep[-1]
             yield frame.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "v", "u_text", "v_text").mapInArrow(run, "u binary, v binary")
+    return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u binary, v binary")
 
 
 def _block(table, same: bool):
-    """(u, v, n) of the texts of one pair of blocks: links that join what is linked here (n is null), and each text's count of links (v is null)."""
+    """(u, v) links that join classes, of the texts of one pair of blocks.
+
+    A class is what is known to be linked before, or is found here: pairs within one aren't compared.
+    """
     import pyarrow as pa
 
     texts, digests = table.column("text"), table.column("digest").to_pylist()
     side = table.column("second").to_numpy(zero_copy_only=False)
     keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
     large = (table.column("mask").to_numpy()[:, None] >> np.arange(BANDS)) & 1 > 0
+    known: dict[bytes, int] = {}
+    family = np.array([known.setdefault(r, len(known)) for r in table.column("root").to_pylist()], np.int64)
+    root = list(range(len(known)))
     ends, at, parts = np.cumsum([len(t.as_py().encode()) for t in texts], dtype=np.int64), 0, []
     while at < len(ends):
         step = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")) - at)
@@ -238,7 +252,6 @@ def _block(table, same: bool):
     inside = np.flatnonzero(np.isin(of, right))
     inside = inside[np.argsort(marks[inside], kind="stable")]
     listed, owner, place = marks[inside], of[inside], (np.arange(len(of)) - starts[of])[inside]
-    degree, root = np.zeros(len(n), np.int64), list(range(len(n)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -252,7 +265,7 @@ def _block(table, same: bool):
         wanted = np.zeros(len(n), bool)
         wanted[right[right > u] if same else right] = True
         need = -(-round(1000 * SIMILARITY) * (n + n[u]) // (1000 + round(1000 * SIMILARITY)))
-        may &= wanted & (np.minimum(n, n[u]) >= need)
+        may &= wanted & (np.minimum(n, n[u]) >= need) & (family != family[u])
         if not may.any():
             continue
         own = marks[starts[u] : stops[u]]
@@ -267,79 +280,86 @@ def _block(table, same: bool):
         crossed = np.zeros(len(n), bool)
         crossed[o[1:][(o[1:] == o[:-1]) & (p[1:] < p[:-1])]] = True
         for v in np.flatnonzero(may).tolist():
-            if crossed[v] and not similar(hashes[starts[u] : stops[u]], own, hashes[starts[v] : stops[v]], marks[starts[v] : stops[v]]):
+            a, b = top(int(family[u])), top(int(family[v]))
+            if a == b or crossed[v] and not similar(hashes[starts[u] : stops[u]], own, hashes[starts[v] : stops[v]], marks[starts[v] : stops[v]]):
                 continue
-            degree[u] += 1
-            degree[v] += 1
-            a, b = top(u), top(v)
-            if a != b:
-                root[a] = b
-                joins.append((digests[u], digests[v], None))
-    joins += [(digests[i], None, int(degree[i])) for i in np.flatnonzero(degree).tolist()]
-    columns = list(zip(*joins, strict=True)) or [[]] * 3
-    return pa.table({name: pa.array(c, t) for name, c, t in zip("uvn", columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)})
+            root[a] = b
+            joins.append((digests[u], digests[v]))
+    columns = list(zip(*joins, strict=True)) or [[]] * 2
+    return pa.table({name: pa.array(c, pa.binary()) for name, c in zip("uv", columns, strict=True)})
 
 
 def _in_blocks(large: DataFrame, nodes: DataFrame, texts: DataFrame, at: str) -> DataFrame:
-    """(u, v, n) as ``_block`` gives them, over all pairs of texts that share large buckets and no small one.
+    """(u, v) links over all pairs of texts that share a large bucket, no small one and no class.
 
-    large: (digest, band, key, size). Each text is dealt into a block of its largest bucket; two blocks meet,
-    in a task of their own, where a bucket has members in both. So each pair is compared once at any number of bands.
+    large: (digest, band, key, size, root, minor) of the buckets with more than one class; minor is
+    what isn't of its bucket's largest class. Each text is dealt into a block of its largest bucket,
+    minor ones apart; two blocks meet, in a task of their own, where a bucket has members in both
+    and one of them is minor. So each pair is compared once at any number of bands.
     """
-    homes = large.groupBy("digest").agg(F.max(F.struct("size", "key")).alias("home"), F.expr("bit_or(shiftleft(1, band))").alias("mask")).select("digest", "mask", F.col("home.key").alias("home"))
-    whole = homes.join(nodes.select("digest", "keys"), "digest").join(texts, "digest")
+    homes = large.groupBy("digest").agg(F.max(F.struct("size", "key")).alias("home"), F.expr("bit_or(shiftleft(1, band))").alias("mask"), F.first("root").alias("root"), F.max("minor").alias("minor"))
+    whole = homes.select("digest", "mask", "root", "minor", F.col("home.key").alias("home")).join(nodes.select("digest", "keys"), "digest").join(texts, "digest")
     whole = shared.written(whole.withColumn("bytes", F.octet_length("text").cast("long")), f"{at}/members")
-    parts = whole.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
-    placed = whole.select("digest", "home").join(parts, "home").select("digest", F.xxhash64("home", F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block"))
+    parts = whole.groupBy("home", "minor").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
+    parts = shared.written(parts, f"{at}/parts")
+    placed = whole.select("digest", "home", "minor").join(parts, ["home", "minor"]).select("digest", "minor", F.xxhash64("home", "minor", F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block"))
     placed = shared.written(placed, f"{at}/placed")
-    spread = shared.written(large.select("digest", "key").join(placed, "digest").select("key", "block").distinct(), f"{at}/spread")
-    tasks = spread.select("key", F.col("block").alias("p")).join(spread.select("key", F.col("block").alias("q")), "key").where("p <= q").select("p", "q").distinct()
+    spread = shared.written(large.select("digest", "key").join(placed, "digest").select("key", "block", "minor").distinct(), f"{at}/spread")
+    side = lambda name: spread.select("key", F.col("block").alias(name), F.col("minor").alias(f"{name}_minor"))
+    tasks = side("p").where("p_minor").join(side("q"), "key").where("p <= q OR NOT q_minor").select("p", "q").distinct()
     sides = tasks.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    dealt = sides.join(placed, "block").join(whole.select("digest", "mask", "keys", "text"), "digest")
-    dealt = dealt.select("p", "q", (F.col("block") != F.col("p")).alias("second"), "digest", "mask", "keys", "text")
-    return dealt.groupBy("p", "q").applyInArrow(lambda key, table: _block(table, key[0].as_py() == key[1].as_py()), "u binary, v binary, n long")
+    dealt = sides.join(placed.select("digest", "block"), "block").join(whole.select("digest", "mask", "root", "keys", "text"), "digest")
+    dealt = dealt.select("p", "q", (F.col("block") != F.col("p")).alias("second"), "digest", "mask", "root", "keys", "text")
+    return dealt.groupBy("p", "q").applyInArrow(lambda key, table: _block(table, key[0].as_py() == key[1].as_py()), "u binary, v binary")
 
 
-def links(docs: DataFrame, nodes: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(u, v) digests of similar texts, enough of them to join all that are linked, and (digest, n_links) over all.
+def linked(docs: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
+    """(u, v): each linked text but the least of its class, and that least one, as digests.
 
     docs: (digest, text); nodes: (digest, n, keys), one row per text.
     """
     bands = nodes.select("digest", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = bands.join(sizes, "key")
-    large = shared.written(met.where(F.col("size") > ALL_PAIRS).select("digest", "band", "key", "size"), f"{at}/large")
+    sizes = shared.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{at}/sizes")
+    met = shared.written(bands.join(sizes, "key"), f"{at}/met")
+    large = met.where(F.col("size") > ALL_PAIRS)
+    alike = lambda u, v: F.least(u, v) >= SIMILARITY * F.greatest(u, v)
     groups = met.where(F.col("size") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("digest", "n"))).alias("g"))  # at most ALL_PAIRS each
     each = groups.select("g", F.posexplode("g").alias("i", "v")).select("v", F.explode(F.slice("g", F.col("i") + 2, ALL_PAIRS)).alias("u"))
-    alike = F.least("u.n", "v.n") >= SIMILARITY * F.greatest("u.n", "v.n")
-    pairs = shared.written(each.where(alike).select(F.col("u.digest").alias("u"), F.col("v.digest").alias("v")).distinct(), f"{at}/pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).unionByName(large.select("digest")).distinct()
-    texts = shared.written(docs.join(shared.broadcast_within(wanted, 100), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), f"{at}/texts")
-    with_u = pairs.join(texts.select(F.col("digest").alias("u"), F.col("text").alias("u_text")), "u")
-    both = with_u.join(texts.select(F.col("digest").alias("v"), F.col("text").alias("v_text")).hint("merge"), "v")
-    few = shared.written(_verified(both), f"{at}/few")
-    many = shared.written(_in_blocks(large, nodes, texts, at), f"{at}/many")
-    degree = few.select(F.explode(F.array("u", "v")).alias("digest"), F.lit(1).cast("long").alias("n")).unionByName(many.where("v IS NULL").select(F.col("u").alias("digest"), "n"))
-    return few.unionByName(many.where("v IS NOT NULL").select("u", "v")), degree.groupBy("digest").agg(F.sum("n").alias("n_links"))
+    few = each.where(alike(F.col("u.n"), F.col("v.n"))).select(F.col("u.digest").alias("u"), F.col("v.digest").alias("v"), F.lit(0).alias("turn")).distinct()
+    pivots = [F.min(F.struct(F.xxhash64("digest", F.lit(i)).alias("by"), F.col("digest").alias("u"), "n", F.lit(i).alias("turn"))) for i in range(PIVOTS)]
+    pivots = shared.written(large.groupBy("key").agg(F.array(*pivots).alias("pivots")), f"{at}/pivots")
+    stars = large.select("digest", "n", "key").join(pivots, "key").select(F.col("digest").alias("v"), "n", F.explode("pivots").alias("p"))
+    stars = stars.where((F.col("p.u") != F.col("v")) & alike(F.col("p.n"), F.col("n"))).groupBy(F.col("p.u").alias("u"), "v").agg(F.min("p.turn").alias("turn"))
+    few, stars = shared.written(few, f"{at}/few"), shared.written(stars, f"{at}/stars")
+    wanted = few.select("u").unionByName(few.select(F.col("v").alias("u"))).unionByName(large.select(F.col("digest").alias("u"))).select(F.col("u").alias("digest")).distinct()
+    texts = docs.join(shared.broadcast_within(shared.written(wanted, f"{at}/wanted"), 100), "digest", "left_semi")
+    texts = shared.written(texts.groupBy("digest").agg(F.first("text").alias("text")), f"{at}/texts")
+    found = shared.written(_verified(few, texts, False).unionByName(_verified(stars, texts, True)), f"{at}/found")
+    roots = components(found, f"{at}/first")
+    classes = shared.written(large.join(roots.select(F.col("u").alias("digest"), F.col("v").alias("root")), "digest", "left").withColumn("root", F.coalesce("root", "digest")), f"{at}/classes")
+    counted = classes.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root")).alias("most")).where("roots > 1")
+    open_ = shared.written(counted.select("key", F.col("most.root").alias("most")), f"{at}/open")
+    if open_.isEmpty():
+        return roots
+    rest = shared.written(classes.join(open_, "key").select("digest", "band", "key", "size", "root", (F.col("root") != F.col("most")).alias("minor")), f"{at}/rest")
+    more = shared.written(_in_blocks(rest, nodes, texts, at), f"{at}/more")
+    return roots if more.isEmpty() else components(roots.unionByName(more), f"{at}/second")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, n_links, kept, digest."""
+    """One row per input row: doc_id, class_id, class_size, kept, digest."""
     at = shared.work_dir(spark, "near-dedup")
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
     marked = shared.written(sketches(rows), f"{at}/sketches")
     nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = shared.written(nodes, f"{at}/nodes")
-    found, degree = links(rows.select("digest", "text"), nodes.where("n > 0").select("digest", "n", "keys"), at)
-    roots = components(found, at).select(F.col("u").alias("digest"), F.col("v").alias("root"))
-    members = nodes.join(roots, "digest", "left").join(degree, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "first_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    roots = linked(rows.select("digest", "text"), nodes.where("n > 0").select("digest", "n", "keys"), at).select(F.col("u").alias("digest"), F.col("v").alias("root"))
+    members = nodes.join(roots, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "first_id", "copies")
     members = shared.written(members, f"{at}/told")
     whole = members.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest")).alias("best"), F.sum("copies").alias("class_size"))
-    told = members.join(whole, "root").select("digest", "n_links", "class_size", F.col("best.first_id").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("holds"))
-    return marked.select("doc_id", "digest").join(told, "digest").select(
-        "doc_id", "class_id", "class_size", "n_links", (F.col("holds") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), "digest"
-    )
+    told = members.join(shared.written(whole, f"{at}/whole"), "root").select("digest", "class_size", F.col("best.first_id").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("holds"))
+    return marked.select("doc_id", "digest").join(told, "digest").select("doc_id", "class_id", "class_size", (F.col("holds") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), "digest")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,4 +370,4 @@ def drop_near(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_size", "kept")
