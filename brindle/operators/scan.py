@@ -54,15 +54,9 @@ def signature_findings(spark, docs: DataFrame, id_col: str = "path", text_col: s
     """Findings of the signature catalogue, with fingerprints; public and placeholder entries are left out."""
     hits = spans.signature_hits(docs, id_col, text_col)
     named = hits.join(F.broadcast(signatures.catalogue(spark)), "ordinal").where("kind = 'secret'")
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    at = named.join(texts, "id")
-    secret = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return at.select(
-        F.col("id").alias("path"), F.lit("secret-value").alias("rule_id"), F.lit("critical").alias("severity"), F.col("name").alias("detail"), "start", "end",
-        spans.line_of(F.col("text"), F.col("start")).alias("start_line"), spans.column_of(F.col("text"), F.col("start")).alias("start_col"),
-        spans.line_of(F.col("text"), F.col("end")).alias("end_line"), spans.column_of(F.col("text"), F.col("end")).alias("end_col"),
-        F.concat(F.col("name"), F.lit(" found in content")).alias("message"), F.lit(True).alias("from_content_scan"),
-        fingerprint.fingerprint_column(F.lit("secret-value"), secret).alias("fingerprint"),
+    return named.select(
+        F.col("id").alias("path"), F.lit("secret-value").alias("rule_id"), F.lit("critical").alias("severity"), F.col("name").alias("detail"), "start", "end", "start_line", "start_col", "end_line", "end_col",
+        F.concat(F.col("name"), F.lit(" found in content")).alias("message"), F.lit(True).alias("from_content_scan"), fingerprint.fingerprint_column(F.lit("secret-value"), F.col("secret")).alias("fingerprint"),
     )
 
 

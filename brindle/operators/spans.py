@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import arrays
@@ -32,48 +30,60 @@ def column_of(text: Column, offset: Column) -> Column:
 
 
 def signature_hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ordinal, start, end): signatures' hits, without overlaps.
+    """(id, ordinal, start, end, start_line, start_col, end_line, end_col, secret): signatures' hits, without overlaps.
 
-    Two JVM-side patterns, the cheap one first, drop the texts that no signature matches before any Python runs.
-    Hits are taken by start, and at equal starts by end; a hit that begins inside a taken one is dropped.
+    One automaton over the signatures' required literals finds what may match, so most texts
+    are read once at its speed. Places and the matched text are taken there, so ids need not
+    be unique; null texts have no hits.
     """
 
     def run(frames):
         import pyarrow as pa
 
-        compiled = [re.compile(p, re.ASCII) for _, _, p in signatures.SIGNATURES]
+        own = signatures.matcher()
         for frame in frames:
             out = []
             for key, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                hits, covered = sorted((m.start(), m.end(), i) for i, p in enumerate(compiled) for m in p.finditer(text)), 0
-                for start, end, ordinal in hits:
-                    if start >= covered:
-                        out.append((key, ordinal, start, end))
-                        covered = end
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "ordinal", "start", "end"])
+                at = lambda i: (text.count("\n", 0, i) + 1, i - text.rfind("\n", 0, i))  # noqa: E731, B023
+                out += [(key, i, start, end, *at(start), *at(end), text[start:end]) for start, end, i in own.hits(text)]
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = (pa.string(), *[pa.int32()] * 7, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "ordinal", "start", "end", "start_line", "start_col", "end_line", "end_col", "secret"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(signatures.RUN) & F.col("text").rlike(signatures.any_pattern()))
-    return rows.mapInArrow(run, "id string, ordinal int, start int, end int")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return rows.mapInArrow(run, "id string, ordinal int, start int, end int, start_line int, start_col int, end_line int, end_col int, secret string")
 
 
 def without_superseded(findings: DataFrame) -> DataFrame:
     """Findings that no other finding of their path supersedes.
 
     A content-scan finding loses to any overlapping extractor finding, and a finding to an enclosing one of
-    higher severity; losers still supersede others. A path's findings are gathered in one row, so the range
-    join runs inside it.
+    higher severity; losers still supersede others. Furthest ends are running maxima over each path's
+    findings in order, so a path with very many of them is sorted and never compared pair by pair.
     """
-    rank = F.when(F.col("severity") == "critical", 2).otherwise(1)
-    row = F.struct(F.col("start"), F.col("end"), F.col("from_content_scan"), rank.alias("rank"))
-    every = findings.groupBy("path").agg(F.collect_set(row).alias("_others"))
-
-    def beats(o: Column) -> Column:
-        overlap = (o["start"] < F.col("end")) & (F.col("start") < o["end"])
-        enclosed = (o["start"] <= F.col("start")) & (o["end"] >= F.col("end")) & ((o["start"] < F.col("start")) | (o["end"] > F.col("end")))
-        return (F.col("from_content_scan") & ~o["from_content_scan"] & overlap) | (enclosed & (o["rank"] > rank))
-
-    return findings.join(every, "path").where(~F.exists("_others", beats)).drop("_others")
+    rows = findings.withColumn("_id", F.struct(*[F.col(c) for c in findings.columns]))
+    own = rows.select("path", F.col("start").alias("at"), F.lit(0).alias("turn"), F.when(~F.col("from_content_scan"), F.col("end")).alias("own_end"), F.when(F.col("severity") == "critical", F.col("end")).alias("high_end"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"))
+    asked = rows.select("path", (F.col("end") - 1).alias("at"), F.lit(1).alias("turn"), F.lit(None).cast("int").alias("own_end"), F.lit(None).cast("int").alias("high_end"), "_id")
+    begun = rows.select("path", F.col("start").alias("at"), F.lit(2).alias("turn"), F.lit(None).cast("int").alias("own_end"), F.lit(None).cast("int").alias("high_end"), "_id")
+    upto = Window.partitionBy("path").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("path").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("path", "at")
+    told = own.unionByName(asked).unionByName(begun).withColumns({"own_reach": F.max("own_end").over(upto), "high_before": F.max("high_end").over(before), "high_same": F.max("high_end").over(same)})
+    overlapped = (F.col("turn") == 1) & F.col("_id.from_content_scan") & (F.coalesce("own_reach", F.lit(-1)) > F.col("_id.start"))
+    enclosed = (F.col("turn") == 2) & (F.col("_id.severity") != "critical") & ((F.coalesce("high_before", F.lit(-1)) >= F.col("_id.end")) | (F.coalesce("high_same", F.lit(-1)) > F.col("_id.end")))
+    verdict = told.where("turn > 0").groupBy("_id", "turn").agg(F.max(overlapped | enclosed).alias("lost"), F.count(F.lit(1)).alias("times")).groupBy("_id").agg(F.max("lost").alias("lost"), F.max("times").alias("times"))
+    kept = verdict.where("NOT lost").select(F.explode(F.array_repeat("_id", F.col("times").cast("int"))).alias("_id"))
+    return kept.select("_id.*")
+
+
+def call_parameters(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(path, callee, seq, position, parameter, argument): the arguments of calls (path, callee, seq, args) with the parameters of the functions they call.
+
+    Of the definitions (path, name, seq, params) of one name in a file the last counts.
+    """
+    last = definitions.groupBy("path", F.col("name").alias("callee")).agg(F.max_by("params", "seq").alias("params"))
+    pairs = calls.join(last, ["path", "callee"]).select("path", "callee", "seq", F.posexplode("args").alias("position", "argument"), "params")
+    return pairs.where(F.col("position") < F.size("params")).select("path", "callee", "seq", "position", F.get("params", F.col("position")).alias("parameter"), "argument")
 
 
 def without_directed(findings: DataFrame, directives: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import names, values
-from brindle.operators import extract, scan, spans
-from brindle.plans import reports
-from brindle.sources import files, providers, services, signatures
+from brindle.functions import names, text, values
+from brindle.operators import extract, files_scan, scan, spans
+from brindle.plans import fixtures, reports
+from brindle.scanner import detect, shapes, verdicts, words
+from brindle.sources import files, history, options, providers, services, signatures
 from brindle.streaming import watch
 
 
@@ -120,6 +121,178 @@ def mention_providers(spark, sf_dir):
     return providers.with_provider(spark, service_mentions(spark, sf_dir), None, "keyword").groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fixture_files(spark, group: str | None = None) -> DataFrame:
+    return spark.createDataFrame([(p, t) for g, p, t in fixtures.FILES if group in (None, g)], "path string, text string")
+
+
+def _fixture_scan(group: str):
+    """A query that scans a group of the authored files, with its expected rows."""
+
+    def query(spark, sf_dir):
+        found = files_scan.scan_files(_fixture_files(spark, group))
+        return found.select("path", "rule_id", "severity", "name", "assignment_type", "kind", F.col("start_line").alias("line"))
+
+    query.__name__ = f"scan_{group}_files"
+    return query
+
+
+def classify_names(spark, sf_dir):
+    """Kind, weakness and service of names."""
+
+    @F.pandas_udf("kind string, weak boolean, service string")
+    def told(own):
+        import pandas as pd
+
+        found = [words.classify(n) for n in own]
+        return pd.DataFrame({"kind": [f and f.kind for f in found], "weak": [f and f.weak for f in found], "service": [f.service[0] if f and f.service else None for f in found]})
+
+    names_ = spark.createDataFrame([(n,) for n, *_ in fixtures.NAMES], "name string")
+    return names_.select("name", told("name").alias("t")).select("name", "t.*")
+
+
+def value_predicates(spark, sf_dir):
+    """Each predicate over values, one that it holds for and one that it doesn't."""
+
+    @F.pandas_udf("boolean")
+    def holds(own, tests):
+        return own.combine(tests, lambda v, t: bool(getattr(shapes, t)(v)))
+
+    return spark.createDataFrame([(v, t) for v, t, _ in fixtures.VALUES], "value string, test string").select("value", "test", holds("value", "test").alias("holds"))
+
+
+def severity_matrix(spark, sf_dir):
+    """Severity of a named value by its name's kind and its own, and of a value in a header or in content."""
+    kinds = ("Public", "Placeholder", "PrivateKey", "PuttyKey", "Signature", "Service", "Url", "CreditCard", "Mnemonic", "Possible")
+    rows = [(n, k, p, verdicts.assignment_severity(n, k, p), verdicts.value_severity(k)) for n in (None, "Mnemonic", "Sensitive", "Key", "Token") for k in kinds for p in (False, True)]
+    return spark.createDataFrame(rows, "name_kind string, value_kind string, password_field boolean, severity string, in_content string")
+
+
+def binary_stores(spark, sf_dir):
+    """Binary key stores by their first byte's detector."""
+
+    @F.pandas_udf("string")
+    def kind(own):
+        return own.map(lambda raw: detect.binary(bytes(raw)))
+
+    return spark.createDataFrame([(p, bytearray.fromhex(h)) for p, h, _ in fixtures.BINARIES], "path string, content binary").select("path", kind("content").alias("kind"))
+
+
+def header_credentials(spark, sf_dir):
+    """The credentials in headers."""
+
+    @F.pandas_udf("array<string>")
+    def held(own, text_):
+        def one(name, value):
+            lower = name.lower()
+            if lower in ("cookie", "set-cookie"):
+                return verdicts.cookie_values(value)
+            if lower in ("authorization", "proxy-authorization"):
+                return [c for c in [verdicts.authorization_credential(value)] if c]
+            return [value] if lower in verdicts.SENSITIVE_HEADERS else []
+
+        return own.combine(text_, one)
+
+    return spark.createDataFrame([h[:2] for h in fixtures.HEADERS], "header string, value string").select("header", "value", F.array_join(held("header", "value"), ",").alias("credentials"))
+
+
+def connection_strings(spark, sf_dir):
+    """The credentials in connection strings."""
+    rows = spark.createDataFrame([(c,) for c, _ in fixtures.CONNECTIONS], "value string")
+    return rows.select("value", F.array_join(values.connection_credentials(F.col("value")), ",").alias("credentials"))
+
+
+def url_secrets(spark, sf_dir):
+    """What credentials URLs hold, and where."""
+
+    @F.pandas_udf("detail string, location string, keys string")
+    def told(own):
+        import pandas as pd
+
+        found = [verdicts.Judge().url(u) for u in own]
+        return pd.DataFrame({"detail": [f and f.detail for f in found], "location": [f and f.location for f in found], "keys": [",".join(f.keys) if f else "" for f in found]})
+
+    return spark.createDataFrame([(u,) for u, *_ in fixtures.URLS], "url string").select("url", told("url").alias("t")).select("url", "t.*")
+
+
+def tree_reasons(spark, sf_dir):
+    """Why files of a tree with rc and ignore files are skipped."""
+    tree = spark.createDataFrame(list(fixtures.TREE), "path string, text string")
+    return options.with_reason(tree, options.layers(tree)).select("path", F.col("skip_reason").alias("reason"))
+
+
+def cutoff_times(spark, sf_dir):
+    """The moments that cut-off texts stand for."""
+    rows = spark.createDataFrame([(t,) for t, _ in fixtures.CUTOFFS], "value string")
+    return rows.select("value", F.unix_seconds(history.cutoff(F.col("value"))).alias("seconds"))
+
+
+def call_parameters(spark, sf_dir):
+    """Arguments joined to the parameters of the last definition of what they call."""
+    calls = spark.createDataFrame([(p, c, s, list(a)) for p, c, s, a in fixtures.CALLS], "path string, callee string, seq int, args array<string>")
+    made = spark.createDataFrame([(p, c, s, list(a)) for p, c, s, a in fixtures.DEFINITIONS], "path string, name string, seq int, params array<string>")
+    return spans.call_parameters(calls, made)
+
+
+def superseded_spans(spark, sf_dir):
+    """The findings of a file that no other one supersedes."""
+    rows = spark.createDataFrame(list(fixtures.SPANS), "path string, finding int, severity string, from_content_scan boolean, start int, end int")
+    return spans.without_superseded(rows).select("path", "finding")
+
+
+def report_words(spark, sf_dir):
+    """Articles and property accesses for messages."""
+    a = spark.createDataFrame([(t,) for t, _ in fixtures.ARTICLES], "subject string").select("subject", text.article(F.col("subject")).alias("shown"))
+    b = spark.createDataFrame([(o, n) for o, n, _ in fixtures.ACCESSES], "o string, n string").select(F.concat_ws(" ", "o", "n").alias("subject"), text.js_access(F.col("o"), F.col("n")).alias("shown"))
+    return a.unionByName(b)
+
+
+def blob_history(spark, sf_dir):
+    """Attribution of blobs: users stand for blobs and events for commits."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in history.PRIORITY]), (F.col("event_id") % len(history.PRIORITY) + 1).cast("int"))
+    entries = _read(spark, sf_dir, "events").select(
+        kinds.alias("ref_kind"), F.concat(F.lit("ref"), F.col("event_id") % 7).alias("ref"), F.col("event_id").cast("string").alias("commit"), F.col("ts").cast("timestamp").alias("author_ts"),
+        F.lit("s").alias("subject"), F.concat(F.lit("dir/"), "event_type").alias("path"), F.col("user_id").cast("string").alias("oid"),
+    )
+    found = history.attributed(entries)
+    return found.select("oid", "commit", "path", "author_date", F.col("location.ref_kind").alias("ref_kind"), F.element_at("commits", 1)["commit"].alias("oldest"), F.element_at("commits", -1)["commit"].alias("newest"), F.size("commits").cast("long").alias("total"))
+
+
+def commit_ancestors(spark, sf_dir):
+    """What commits reach over their parents: commit k has the parents k / 2 and k / 3."""
+    parents = spark.range(1, 65).select(F.col("id").cast("string").alias("commit"), F.filter(F.array_distinct(F.array((F.col("id") / 2).cast("long").cast("string"), (F.col("id") / 3).cast("long").cast("string"))), lambda p: p != "0").alias("parents"))
+    return history.ancestors(spark, parents, parents.where("CAST(commit AS INT) > 60"))
+
+
+def nearest_roots(spark, sf_dir):
+    """The longest root above each page's path."""
+    path = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
+    pages = _read(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    roots = pages.select(F.regexp_extract("path", r"^([^/]*)", 1).alias("root")).union(pages.where("page_id % 3 = 0").select(F.regexp_extract("path", r"^([^/]*/[^/]*)/", 1).alias("root"))).where("root <> ''").distinct()
+    return options.nearest_root(pages, roots).select("page_id", "root")
+
+
+def changed_documents(spark, sf_dir):
+    """Files that the incremental state doesn't know as clean: documents whose length was another before."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("modified"))
+    state = _read(spark, sf_dir, "labels").join(docs.withColumnRenamed("path", "doc_id"), "doc_id").select(F.col("doc_id").alias("path"), "modified", (F.col("quality") == 1).alias("clean"))
+    return spans.changed_files(docs, state).select("path")
+
+
+def validation_statuses(spark, sf_dir):
+    """Live, inactive and unknown by the answer's code; equal secrets are asked for once."""
+    found = spark.createDataFrame([(1, "NPM access token", "a"), (2, "NPM access token", "a"), (3, "NPM access token", "a"), (4, "Stripe secret key", "b"), (5, "GitHub token", "c"), (6, "GitHub token", "d"), (7, "unheard of", "e")], "finding int, detail string, secret string")
+    asked = providers.with_provider(spark, found)
+    codes = spark.createDataFrame([("a", 200), ("b", 403), ("c", 500), ("d", 401)], "secret string, code int")
+    answers = providers.requests(asked).join(F.broadcast(codes), "secret")
+    return providers.with_status(spark, asked, answers).select("finding", "validation")
+
+
+def summary_line(spark, sf_dir):
+    """The summary row of the authored files' scan, with its line."""
+    tree = _fixture_files(spark)
+    return reports.summary_row(files_scan.scan_files(tree), tree, 1500)
+
+
 ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*)[ \t\n]*=[ \t\n]*["']([^"']*)["']"""
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)[^?#]*(?:\?([^#]*))?"
 
@@ -128,7 +301,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         scan_documents, document_assignments, scan_summary, findings_rollup, document_cards, page_cards, document_signatures, page_attributes, page_urls, value_shapes,
         value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types, document_config, event_trees,
-        service_mentions, document_services, mention_providers,
+        service_mentions, document_services, mention_providers, classify_names, value_predicates, severity_matrix, binary_stores, header_credentials, connection_strings, url_secrets, tree_reasons, cutoff_times,
+        call_parameters, superseded_spans, report_words, blob_history, commit_ancestors, nearest_roots, changed_documents, validation_statuses, summary_line,
+        *[_fixture_scan(group) for group in ("code", "data", "markup", "schemas", "keys")],
     )
     return {f.__name__: f for f in found}
 
@@ -145,6 +320,61 @@ def _matches_sql(table: str, key: str, text: str, pattern: str) -> str:
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key} AS id, {text} AS text, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS g FROM {table})))"""
 
 
+def _values_sql(rows, columns: str) -> str:
+    """A table of fixed rows. Columns are `name type`, parted by commas."""
+    sql = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else _q(v)
+    own = [c.split() for c in columns.split(", ")]
+    body = ", ".join("(" + ", ".join(map(sql, row)) + ")" for row in rows)
+    return f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in own)} FROM (VALUES {body}) AS v({', '.join(n for n, _ in own)})"
+
+
+def _expected_sql() -> dict[str, str]:
+    """What the authored fixtures give, and the SQL of relational operators over them."""
+    groups = {p: g for g, p, _ in fixtures.FILES}
+    finding = "path VARCHAR, rule_id VARCHAR, severity VARCHAR, name VARCHAR, assignment_type VARCHAR, kind VARCHAR, line INTEGER"
+    kind = "CASE WHEN value_kind IN ('Public', 'Placeholder') THEN NULL WHEN value_kind IN ('PrivateKey', 'PuttyKey', 'Signature', 'CreditCard') THEN 'critical' WHEN value_kind IN ('Service', 'Url') THEN 'warning' WHEN name_kind = 'Mnemonic' THEN CASE WHEN value_kind = 'Mnemonic' THEN 'warning' END WHEN name_kind IS NOT NULL OR password_field THEN 'warning' END"
+    statuses = {1: "live", 2: "live", 3: "live", 4: "live", 5: "unknown", 6: "inactive", 7: None}
+    n_critical, n = sum(f[2] == "critical" for f in fixtures.FOUND), len(fixtures.FOUND)
+    lists = lambda xs: "[" + ", ".join(map(_q, xs)) + "]"
+    table = lambda rows, names_: f"(SELECT * FROM (VALUES {', '.join(rows)}) AS v({names_}))"
+    calls = table([f"({_q(p)}, {_q(c)}, {s}, {lists(a)})" for p, c, s, a in fixtures.CALLS], "path, callee, seq, args")
+    made = table([f"({_q(p)}, {_q(c)}, {s}, {lists(a)})" for p, c, s, a in fixtures.DEFINITIONS], "path, callee, seq, params")
+    spans_ = table([f"({_q(p)}, {i}, {_q(s)}, {c}, {a}, {b})" for p, i, s, c, a, b in fixtures.SPANS], 'path, finding, severity, content, a, b')
+    rank = "list_position(['dangling', 'stash', 'tag', 'remoteRef', 'branch', 'current branch'], ref_kind)"
+    return {
+        **{f"scan_{g}_files": _values_sql([f for f in fixtures.FOUND if groups[f[0]] == g], finding) for g in ("code", "data", "markup", "schemas", "keys")},
+        "classify_names": _values_sql(fixtures.NAMES, "name VARCHAR, kind VARCHAR, weak BOOLEAN, service VARCHAR"),
+        "value_predicates": _values_sql(fixtures.VALUES, "value VARCHAR, test VARCHAR, holds BOOLEAN"),
+        "severity_matrix": f"""SELECT name_kind, value_kind, password_field, {kind} AS severity,
+            CASE WHEN value_kind IN ('Public', 'Placeholder') THEN NULL WHEN value_kind IN ('PrivateKey', 'PuttyKey', 'Signature') THEN 'critical' ELSE 'warning' END AS in_content
+            FROM (SELECT unnest([NULL, 'Mnemonic', 'Sensitive', 'Key', 'Token']) AS name_kind), (SELECT unnest(['Public', 'Placeholder', 'PrivateKey', 'PuttyKey', 'Signature', 'Service', 'Url', 'CreditCard', 'Mnemonic', 'Possible']) AS value_kind), (SELECT unnest([false, true]) AS password_field)""",
+        "binary_stores": _values_sql([(p, k) for p, _, k in fixtures.BINARIES], "path VARCHAR, kind VARCHAR"),
+        "header_credentials": _values_sql([(h, v, ",".join(c)) for h, v, c in fixtures.HEADERS], "header VARCHAR, value VARCHAR, credentials VARCHAR"),
+        "connection_strings": _values_sql([(v, ",".join(c)) for v, c in fixtures.CONNECTIONS], "value VARCHAR, credentials VARCHAR"),
+        "url_secrets": _values_sql(fixtures.URLS, "url VARCHAR, detail VARCHAR, location VARCHAR, keys VARCHAR"),
+        "tree_reasons": _values_sql(fixtures.REASONS, "path VARCHAR, reason VARCHAR"),
+        "cutoff_times": _values_sql(fixtures.CUTOFFS, "value VARCHAR, seconds BIGINT"),
+        "report_words": _values_sql([*fixtures.ARTICLES, *[(f"{o} {n_}", s) for o, n_, s in fixtures.ACCESSES]], "subject VARCHAR, shown VARCHAR"),
+        "validation_statuses": _values_sql(statuses.items(), "finding INTEGER, validation VARCHAR"),
+        "summary_line": _values_sql([(len(fixtures.FILES), 1500, n_critical, n - n_critical, n, f"Scanned {len(fixtures.FILES)} files in 1.50s. Found {n_critical} secrets and {n - n_critical} warnings.")], "scanned_files BIGINT, elapsed_ms BIGINT, critical BIGINT, warning BIGINT, total BIGINT, message VARCHAR"),
+        "call_parameters": f"""SELECT path, callee, seq, CAST(i - 1 AS INTEGER) AS position, params[i] AS parameter, args[i] AS argument FROM (
+            SELECT c.path, c.callee, c.seq, args, params, unnest(range(1, least(len(args), len(params)) + 1)) AS i
+            FROM {calls} c JOIN (SELECT path, callee, arg_max(params, seq) AS params FROM {made} GROUP BY ALL) d ON c.path = d.path AND c.callee = d.callee)""",
+        "superseded_spans": f"""SELECT path, finding FROM {spans_} f WHERE NOT EXISTS (SELECT 1 FROM {spans_} o WHERE o.path = f.path AND (
+            f.content AND NOT o.content AND o.a < f.b AND f.a < o.b OR o.severity = 'critical' AND f.severity = 'warning' AND o.a <= f.a AND f.b <= o.b AND (o.a <> f.a OR o.b <> f.b)))""",
+        "blob_history": f"""WITH e AS (SELECT ['current branch', 'branch', 'remoteRef', 'tag', 'stash', 'dangling'][event_id % 6 + 1] AS ref_kind, 'ref' || (event_id % 7) AS ref, CAST(event_id AS VARCHAR) AS commit, ts, 'dir/' || event_type AS path, CAST(user_id AS VARCHAR) AS oid FROM events)
+            SELECT oid, arg_min(commit, (ts, commit)) AS commit, arg_min(path, (ts, commit)) AS path, CAST(min(ts) AS DATE) AS author_date, arg_max(ref_kind, ({rank}, ref)) AS ref_kind, arg_min(commit, (ts, commit)) AS oldest, arg_max(commit, (ts, commit)) AS newest, count(*) AS total FROM e GROUP BY oid""",
+        "commit_ancestors": """WITH RECURSIVE p AS (SELECT i AS c, unnest(list_distinct([i // 2, i // 3])) AS up FROM range(1, 65) t(i)), reach AS (
+            SELECT i AS tip, i AS c FROM range(61, 65) t(i) UNION SELECT tip, up FROM reach JOIN p USING (c) WHERE up > 0)
+            SELECT DISTINCT CAST(tip AS VARCHAR) AS tip, CAST(c AS VARCHAR) AS commit FROM reach""",
+        "nearest_roots": """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), r AS (
+            SELECT regexp_extract(path, '^([^/]*)', 1) AS root FROM p UNION SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1) FROM p WHERE page_id % 3 = 0)
+            SELECT page_id, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON root <> '' AND (path = root OR starts_with(path, root || '/')) GROUP BY page_id""",
+        "changed_documents": "SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "git_blob_ids": "SELECT doc_id, sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS oid FROM documents",
+    }
+
+
 def _normal_sql(value: str) -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"translate(regexp_replace({value}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '{upper}', '{upper.lower()}')"
@@ -172,7 +402,8 @@ def oracle_sql() -> dict[str, str]:
       FROM (SELECT *, {_entropy_sql("v")} AS bits, {names.kind_sql("w")} AS kind FROM (SELECT *, {_normal_sql("value")} AS v, {names.words_sql("name")} AS w FROM ({assigned})))
       WHERE kind IS NOT NULL AND length(v) >= 8 AND NOT ({out}) AND {enough}"""
     luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN CAST(d[i] AS INTEGER) > 4 THEN CAST(d[i] AS INTEGER) * 2 - 9 ELSE CAST(d[i] AS INTEGER) * 2 END)) % 10 = 0"
-    cards = lambda t, k, x: f"SELECT id, start, CAST(length(d) AS INTEGER) AS n_digits FROM (SELECT *, regexp_replace(match, '[ -]', '', 'g') AS d FROM {_matches_sql(t, k, x, scan.CARD)}) WHERE regexp_matches(d, '^[2-6][0-9]{{12,18}}$') AND {luhn}"
+    tested = ", ".join(map(_q, values.TEST_CARDS))
+    cards = lambda t, k, x: f"SELECT id, start, CAST(length(d) AS INTEGER) AS n_digits FROM (SELECT *, regexp_replace(match, '[ -]', '', 'g') AS d FROM {_matches_sql(t, k, x, scan.CARD)}) WHERE regexp_matches(d, '^[2-6][0-9]{{12,18}}$') AND d NOT IN ({tested}) AND {luhn}"
     attribute, url = _q(ATTRIBUTE), _q(URL)
     shapes = ", ".join(f"regexp_matches(word, {_q(p)}) AS {n}" for n, p in values.SHAPES.items())
     listed = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS id, {i} AS ordinal FROM documents WHERE regexp_matches(text, {_q(p)})" for i, (_, _, p) in enumerate(signatures.SIGNATURES))
@@ -181,6 +412,7 @@ def oracle_sql() -> dict[str, str]:
     held = " UNION ALL ".join(f"SELECT {_q(k)} AS keyword, {_q('|'.join(p))} AS secret, {_q('|'.join(u))} AS shown" for k, _, _, p, u in services.SERVICES)
     provided = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in providers.BY_SERVICE.items())
     return {
+        **_expected_sql(),
         "service_mentions": mentions,
         "mention_providers": f"SELECT CASE keyword {provided} END AS provider, count(*) AS n FROM ({mentions}) GROUP BY 1",
         "document_services": f"""SELECT keyword, CASE WHEN regexp_matches(v, secret) THEN 'secret' ELSE 'public' END AS exposure, count(*) AS n

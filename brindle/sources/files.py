@@ -63,7 +63,7 @@ def file_type(path: Column) -> Column:
         kind = kind.when(name == exact, found)
     for stem, found in (("dockerfile", "Dockerfile"), ("jenkinsfile", "Groovy")):
         kind = kind.when((name == stem) | name.startswith(f"{stem}.") | name.endswith(f".{stem}"), found)
-    kind = kind.when(name.rlike(r"^redis[^/]*\.conf$"), "Redis").when(name.endswith(".blade.php"), "Blade")
+    kind = kind.when(name.rlike(r"^(?:redis|sentinel)(?:-.*)?\.conf$"), "Redis").when(name.endswith(".blade.php"), "Blade")
     for found, extensions in BY_EXTENSION.items():
         kind = kind.when(extension.isin(*extensions.split()), found)
     return kind.when(extension == "", "Ini")
