@@ -5,7 +5,8 @@ For every hash function the ``LENGTH`` least labelled k-mers are sampled and kep
 text order; ``ROWS`` such samples make a band's key. Texts that share a band key are
 candidates, all of them. Buckets of up to ``ALL_PAIRS`` texts make pairs. In a larger one every
 text is first held against ``PIVOTS`` texts of the bucket; what is still in different classes
-then is compared in full, in tasks of two blocks of texts each. So no link that joins two
+then is compared in full: buckets of up to ``BLOCK`` texts in a task each, and larger ones in
+tasks of two blocks of texts. So no link that joins two
 classes is lost, and only pairs whose ends are in one class already go uncompared. A candidate is verified by banded alignment of the two shingle sequences: with
 M aligned shingles of n and m, the similarity M / (n + m - M) must be 0.8 or more. Linked
 texts form classes (connected components); exact copies share a class from the start.
@@ -39,9 +40,9 @@ BANDS = 24
 #: Buckets up to this size make pairs; the texts of larger ones are held against so many of them first.
 ALL_PAIRS = 16
 PIVOTS = 4
-#: About so many texts, and bytes of text, make a block.
-BLOCK = 500
-BLOCK_BYTES = 4_000_000
+#: A bucket of at most so many texts and shingles is compared in one task, and a larger one in blocks of about so many.
+BLOCK = 1000
+BLOCK_SHINGLES = 1_000_000
 BATCH_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -224,17 +225,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, first_only: bool) -> DataFrame
     return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u binary, v binary")
 
 
-def _block(table, same: bool):
-    """(u, v) links that join classes, of the texts of one pair of blocks.
+def _joins(table, left: np.ndarray, right: np.ndarray, comparable):
+    """(u, v) links that join classes, of texts of one task; ``comparable(u)`` tells which texts are to be compared with u here.
 
     A class is what is known to be linked before, or is found here: pairs within one aren't compared.
     """
     import pyarrow as pa
 
     texts, digests = table.column("text"), table.column("digest").to_pylist()
-    side = table.column("second").to_numpy(zero_copy_only=False)
-    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
-    large = (table.column("mask").to_numpy()[:, None] >> np.arange(BANDS)) & 1 > 0
     known: dict[bytes, int] = {}
     family = np.array([known.setdefault(r, len(known)) for r in table.column("root").to_pylist()], np.int64)
     root = list(range(len(known)))
@@ -247,7 +245,6 @@ def _block(table, same: bool):
     hashes, marks, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     stops = np.cumsum(n)
     starts = stops - n
-    left, right = np.flatnonzero(~side), np.flatnonzero(~side if same else side)
     of = np.repeat(np.arange(len(n)), n)
     inside = np.flatnonzero(np.isin(of, right))
     inside = inside[np.argsort(marks[inside], kind="stable")]
@@ -260,12 +257,8 @@ def _block(table, same: bool):
 
     joins = []
     for u in left.tolist():
-        equal = keys == keys[u]
-        may = (equal & large[u]).any(1) & ~(equal & ~large[u]).any(1)  # what shares a small bucket is compared there
-        wanted = np.zeros(len(n), bool)
-        wanted[right[right > u] if same else right] = True
         need = -(-round(1000 * SIMILARITY) * (n + n[u]) // (1000 + round(1000 * SIMILARITY)))
-        may &= wanted & (np.minimum(n, n[u]) >= need) & (family != family[u])
+        may = comparable(u) & (np.minimum(n, n[u]) >= need) & (family != family[u])
         if not may.any():
             continue
         own = marks[starts[u] : stops[u]]
@@ -289,27 +282,61 @@ def _block(table, same: bool):
     return pa.table({name: pa.array(c, pa.binary()) for name, c in zip("uv", columns, strict=True)})
 
 
-def _in_blocks(large: DataFrame, nodes: DataFrame, texts: DataFrame, at: str) -> DataFrame:
-    """(u, v) links over all pairs of texts that share a large bucket, no small one and no class.
+def _bits(table, name: str) -> np.ndarray:
+    return (table.column(name).to_numpy()[:, None] >> np.arange(BANDS)) & 1 > 0
+
+
+def _keys(table) -> np.ndarray:
+    return np.array(table.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
+
+
+def _bucket(table):
+    """Links within one middle bucket. A pair is compared in the first middle bucket that it shares, if it shares no small one."""
+    keys, middle, large, everything = _keys(table), _bits(table, "middle"), _bits(table, "large"), np.arange(table.num_rows)
+    band = table.column("band")[0].as_py()
+
+    def comparable(u: int) -> np.ndarray:
+        equal = keys == keys[u]
+        first = (equal & middle[u]).argmax(1) == band
+        return first & ~(equal & ~middle[u] & ~large[u]).any(1) & (everything > u)
+
+    return _joins(table, everything, everything, comparable)
+
+
+def _block(table, same: bool):
+    """Links between two blocks (or within one): of pairs that share a large bucket, and no middle or small one."""
+    keys, large = _keys(table), _bits(table, "large")
+    second = table.column("second").to_numpy(zero_copy_only=False)
+    left, right = np.flatnonzero(~second), np.flatnonzero(~second if same else second)
+
+    def comparable(u: int) -> np.ndarray:
+        equal = keys == keys[u]
+        wanted = np.zeros(len(keys), bool)
+        wanted[right[right > u] if same else right] = True
+        return wanted & (equal & large[u]).any(1) & ~(equal & ~large[u]).any(1)
+
+    return _joins(table, left, right, comparable)
+
+
+def _in_blocks(rest: DataFrame, whole: DataFrame, at: str) -> DataFrame:
+    """(u, v) links over all pairs of texts that share a large bucket, no other one and no class.
 
-    large: (digest, band, key, size, root, minor) of the buckets with more than one class; minor is
-    what isn't of its bucket's largest class. Each text is dealt into a block of its largest bucket,
+    rest: (digest, key, size, minor) of the large buckets with more than one class; minor is what
+    isn't of its bucket's largest class. Each text is dealt into a block of its largest bucket,
     minor ones apart; two blocks meet, in a task of their own, where a bucket has members in both
     and one of them is minor. So each pair is compared once at any number of bands.
     """
-    homes = large.groupBy("digest").agg(F.max(F.struct("size", "key")).alias("home"), F.expr("bit_or(shiftleft(1, band))").alias("mask"), F.first("root").alias("root"), F.max("minor").alias("minor"))
-    whole = homes.select("digest", "mask", "root", "minor", F.col("home.key").alias("home")).join(nodes.select("digest", "keys"), "digest").join(texts, "digest")
-    whole = shared.written(whole.withColumn("bytes", F.octet_length("text").cast("long")), f"{at}/members")
-    parts = whole.groupBy("home", "minor").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
-    parts = shared.written(parts, f"{at}/parts")
-    placed = whole.select("digest", "home", "minor").join(parts, ["home", "minor"]).select("digest", "minor", F.xxhash64("home", "minor", F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block"))
-    placed = shared.written(placed, f"{at}/placed")
-    spread = shared.written(large.select("digest", "key").join(placed, "digest").select("key", "block", "minor").distinct(), f"{at}/spread")
+    homes = rest.groupBy("digest").agg(F.max(F.struct("size", "key")).alias("home"), F.max("minor").alias("minor")).select("digest", "minor", F.col("home.key").alias("home"))
+    homes = shared.written(homes.join(whole.select("digest", "n"), "digest"), f"{at}/homes")
+    parts = homes.groupBy("home", "minor").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    placed = homes.select("digest", "home", "minor").join(shared.written(parts, f"{at}/parts"), ["home", "minor"])
+    placed = shared.written(placed.select("digest", "minor", F.xxhash64("home", "minor", F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block")), f"{at}/placed")
+    spread = shared.written(rest.select("digest", "key").join(placed, "digest").select("key", "block", "minor").distinct(), f"{at}/spread")
     side = lambda name: spread.select("key", F.col("block").alias(name), F.col("minor").alias(f"{name}_minor"))
     tasks = side("p").where("p_minor").join(side("q"), "key").where("p <= q OR NOT q_minor").select("p", "q").distinct()
     sides = tasks.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    dealt = sides.join(placed.select("digest", "block"), "block").join(whole.select("digest", "mask", "root", "keys", "text"), "digest")
-    dealt = dealt.select("p", "q", (F.col("block") != F.col("p")).alias("second"), "digest", "mask", "root", "keys", "text")
+    dealt = sides.join(placed.select("digest", "block"), "block").join(whole.select("digest", "large", "root", "keys", "text"), "digest")
+    dealt = dealt.select("p", "q", (F.col("block") != F.col("p")).alias("second"), "digest", "large", "root", "keys", "text")
     return dealt.groupBy("p", "q").applyInArrow(lambda key, table: _block(table, key[0].as_py() == key[1].as_py()), "u binary, v binary")
 
 
@@ -319,7 +346,8 @@ def linked(docs: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
     docs: (digest, text); nodes: (digest, n, keys), one row per text.
     """
     bands = nodes.select("digest", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = shared.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{at}/sizes")
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), ((F.count(F.lit(1)) <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)).alias("middle")).where("size > 1")
+    sizes = shared.written(sizes, f"{at}/sizes")
     met = shared.written(bands.join(sizes, "key"), f"{at}/met")
     large = met.where(F.col("size") > ALL_PAIRS)
     alike = lambda u, v: F.least(u, v) >= SIMILARITY * F.greatest(u, v)
@@ -341,8 +369,17 @@ def linked(docs: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
     open_ = shared.written(counted.select("key", F.col("most.root").alias("most")), f"{at}/open")
     if open_.isEmpty():
         return roots
-    rest = shared.written(classes.join(open_, "key").select("digest", "band", "key", "size", "root", (F.col("root") != F.col("most")).alias("minor")), f"{at}/rest")
-    more = shared.written(_in_blocks(rest, nodes, texts, at), f"{at}/more")
+    rest = shared.written(classes.join(open_, "key").select("digest", "band", "key", "size", "middle", "root", (F.col("root") != F.col("most")).alias("minor")), f"{at}/rest")
+    bits = lambda wanted: F.coalesce(F.bit_or(F.when(wanted, F.expr("shiftleft(1, band)"))), F.lit(0))
+    masks = classes.groupBy("digest").agg(bits(F.col("middle")).alias("middle"), bits(~F.col("middle")).alias("large"), F.first("root").alias("root"))
+    whole = masks.join(rest.select("digest").distinct(), "digest").join(nodes.select("digest", "n", "keys"), "digest").join(texts, "digest")
+    whole = shared.written(whole, f"{at}/members")
+    dealt = rest.where("middle").select("key", "band", "digest").join(whole, "digest").select("key", "band", "digest", "middle", "large", "root", "keys", "text")
+    more = dealt.groupBy("key").applyInArrow(_bucket, "u binary, v binary")
+    beyond = rest.where("NOT middle").select("digest", "key", "size", "minor")
+    if not beyond.isEmpty():
+        more = more.unionByName(_in_blocks(beyond, whole, at))
+    more = shared.written(more, f"{at}/more")
     return roots if more.isEmpty() else components(roots.unionByName(more), f"{at}/second")
 
 

@@ -238,13 +238,14 @@ def test_near_dedup_of_hot_groups(spark, n, least, most):
     assert {x.doc_id: x.class_size for x in rows} == {i: wanted.count(w) for i, w in enumerate(wanted)}
 
 
-def test_near_dedup_in_large_buckets(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("block", [60, 1000])
+def test_near_dedup_in_large_buckets(spark, tmp_path, monkeypatch, block):
     base = words(200, 31).split()
     family = [" ".join([*base[:100], f"own{i}", *base[101:]]) for i in range(320)]
     rows = near_dedup.classes(spark, docs(spark, family)).collect()
     assert {(r.class_id, r.class_size) for r in rows} == {(0, 320)}
     # one bucket of 340 texts in all bands: 20 near copies of one text, and 160 pairs; all else is unlike, so no pivot serves
-    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     pairs = [" ".join([*words(60, 500 + i).split()[:-1], end]) for i in range(160) for end in ("left", "right")]
     crossed = [" ".join([*base[: 5 * i], *base[5 * i + 5 : 5 * i + 10], *base[5 * i : 5 * i + 5], *base[5 * i + 10 :]]) for i in range(20)]
     digest = lambda t: hashlib.sha256(t.encode()).digest()
