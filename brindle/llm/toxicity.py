@@ -51,12 +51,15 @@ class Lexicon:
         heads: dict[int, set[str]] = {}
         tails: dict[int, set[str]] = {}
         self.crossed: set[tuple[str, str]] = set()  # what a swap across the middle leaves as it is
+        self.short = {t for t in terms if len(t) == SHORTEST_FUZZY}
+        self.gaps = {(t[:i], t[i + 1 :]) for t in self.short for i in range(len(t))}  # short terms less a letter
+        self.less = {a + b for a, b in self.gaps}
         for i, term in enumerate(terms):
             node = self.trie
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = i
-            if len(term) >= SHORTEST_FUZZY:  # one edit leaves the first or the second half as it is
+            if len(term) > SHORTEST_FUZZY:  # one edit leaves the first or the second half as it is
                 half = len(term) // 2
                 self.crossed.add((term[: half - 1], term[half + 1 :]))
                 for length in (len(term) - 1, len(term), len(term) + 1):
@@ -65,7 +68,17 @@ class Lexicon:
         self.halves = {n: ([(k, {x for x in heads[n] if len(x) == k}) for k in {*map(len, heads[n])}], [(k, {x for x in tails[n] if len(x) == k}) for k in {*map(len, tails[n])}]) for n in heads}
 
     def possible(self, word: str) -> bool:
-        """Whether a term of about the word's length shares its first or its second half with it."""
+        """Whether a term of about the word's length shares its first or its second half with it.
+
+        Halves of the shortest terms say little, so those are looked up less each letter.
+        """
+        n = len(word)
+        if n == SHORTEST_FUZZY - 1 and word in self.less:
+            return True
+        if n == SHORTEST_FUZZY and any((word[:i], word[i + 1 :]) in self.gaps or word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :] in self.short for i in range(n)):
+            return True
+        if n == SHORTEST_FUZZY + 1 and any(word[:i] + word[i + 1 :] in self.short for i in range(n)):
+            return True
         if halves := self.halves.get(len(word)):
             for n, own in halves[0]:
                 if word[:n] in own:
@@ -73,7 +86,7 @@ class Lexicon:
             for n, own in halves[1]:
                 if word[-n:] in own:
                     return True
-        half = len(word) // 2
+        half = n // 2
         return half > 0 and (word[: half - 1], word[half + 1 :]) in self.crossed
 
     def near(self, word: str) -> list[tuple[int, int]]:
