@@ -149,16 +149,18 @@ def document(findings: DataFrame, kind: str, summed: dict | None = None) -> Data
         import pyarrow as pa
 
         first = True
-        yield pa.RecordBatch.from_pydict({"value": [head]})
         for frame in frames:
-            rows = frame.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"value": pa.array([r if first and not i else comma + r for i, r in enumerate(rows)], pa.string())})
-            first = first and not rows
-        yield pa.RecordBatch.from_pydict({"value": [tail]})
+            out = []
+            for part, row in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                out.append(comma + row if part == 1 and not first else row)
+                first = first and part != 1
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     order = ["path", "start_line", "start_col", "rule_id"]
-    rows = own.select(shown.alias("value"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).repartition(1).sortWithinPartitions("o0", "o1", "o2", "o3")
-    return rows.select("value").mapInArrow(joined, "value string")
+    body = own.select(F.lit(1).alias("part"), shown.alias("value"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ends = findings.sparkSession.createDataFrame([(0, head), (2, tail)], "part int, value string")
+    rows = body.unionByName(ends, allowMissingColumns=True).repartition(1).sortWithinPartitions("part", "o0", "o1", "o2", "o3")
+    return rows.select("part", "value").mapInArrow(joined, "value string")
 
 
 def write(findings: DataFrame, path: str, kind: str, summed: dict | None = None, color: bool = False) -> None:

@@ -90,7 +90,7 @@ _JSON = re.compile(r'(?P<string>"(?:[^"\\]|\\.)*")|(?P<comment>//[^\n]*|/\*[\s\S
 
 
 def json(text: str, hook: Hook | None = None) -> list[Item] | None:
-    """Object keys with their dotted scope, strings of arrays as bare values; comments and trailing commas are allowed.
+    """Object keys with their dotted scope, strings of arrays as bare values; comments, trailing commas and bare names are allowed.
 
     ``hook`` (scope, key) tells which strings are shell commands; those of an array belong to the array's key.
     """
@@ -126,9 +126,11 @@ def json(text: str, hook: Hook | None = None) -> list[Item] | None:
                 return None
             stack.pop()
             key = None
-        elif m["mark"] == ",":
-            key = None
+        elif m["bare"] and stack and stack[-1][0] == "{" and key is None:
+            pending = m["bare"]
         else:
+            if pending is not None:
+                return None
             key = None
     return found if seen and not stack else None
 

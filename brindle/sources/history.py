@@ -197,7 +197,7 @@ def _patched(base: bytes, delta: bytes) -> bytes:
 
 def subject(message: str) -> str:
     """A message's first line, without control characters."""
-    return re.sub(r"[\x00-\x1f\x7f]+", " ", message.strip().split("\n")[0]).strip()
+    return re.sub(r"[\x00-\x20\x7f]+", " ", message.strip().split("\n")[0]).strip()
 
 
 def commits(store: Store) -> list[tuple]:

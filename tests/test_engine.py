@@ -1,5 +1,7 @@
+import json
 import random
 import re
+from xml.etree import ElementTree
 
 import pytest
 
@@ -22,9 +24,11 @@ def test_names(spark):
 
 
 def test_values(spark):
-    df = spark.createDataFrame([("4" + "1" * 14 + "x",), ("4242 4242 4242 4242",), ("Zx81kLmQ0pWv7TyR2bNe",), ("${secret}",)], "v string")
+    df = spark.createDataFrame([("4" + "1" * 14 + "x",), ("4532 0151 1283 0366",), ("4242 4242 4242 4242",), ("Zx81kLmQ0pWv7TyR2bNe",), ("${secret}",)], "v string")
     got = df.select(values.is_card(df["v"]).alias("card"), values.sufficient_entropy(values.normalized(df["v"])).alias("e"), values.ruled_out(df["v"]).alias("r")).collect()
-    assert [g.card for g in got] == [False, True, False, False] and got[2].e and got[3].r
+    assert [g.card for g in got] == [False, True, False, False, False] and got[3].e and got[4].r
+    pairs = spark.createDataFrame([("AccountName=x;AccountKey=Zm9v==;",), ("pwd=a=b;Server=h",), ("pwd=only",)], "v string")
+    assert [r.c for r in pairs.select(values.connection_credentials(pairs["v"]).alias("c")).collect()] == [["Zm9v=="], ["a=b"], []]
     header = spark.createDataFrame([("Basic dXNlcjpodW50ZXIy",), ("Bearer abc",)], "h string")
     assert [r.c for r in header.select(values.authorization_credential(header["h"]).alias("c")).collect()] == ["hunter2", "abc"]
 
@@ -55,13 +59,21 @@ def synthetic():
 def test_signatures_findings_and_sinks(spark, tmp_path):
     secret = synthetic()
     df = spark.createDataFrame([("a/b.txt", f"first\né {secret} end"), ("c.txt", "nothing here"), ("d.txt", None)], "path string, text string")
+    twice = spark.createDataFrame([("p", f"x {secret}"), ("p", f"yy {secret}"), (None, secret)], "path string, text string")
+    assert sorted((r.path or "", r.start_col) for r in scan.signature_findings(spark, twice).collect()) == [("", 1), ("p", 3), ("p", 4)]
     (row,) = scan.signature_findings(spark, df).collect()
     assert (row.path, row.detail, row.start_line, row.start_col, row.end_col) == ("a/b.txt", "NPM access token", 2, 3, 3 + len(secret))
     found = scan.signature_findings(spark, df)
     assert reports.summary(found).first().total == 1 and reports.exit_code(found) == 1
     for kind in reports.FORMATS:
-        reports.write(found, f"{tmp_path}/{kind}", kind)
+        reports.write(found, f"{tmp_path}/{kind}", kind, {"total": 1})
         assert "NPM access token" in "".join(p.read_text() for p in (tmp_path / kind).glob("part-*"))
+    read = lambda kind: "".join(p.read_text() for p in (tmp_path / kind).glob("part-*"))
+    assert json.loads(read("json"))["diagnostics"][0]["startLine"] == 2 and json.loads(read("json"))["summary"] == {"total": 1}
+    run = json.loads(read("sarif"))["runs"][0]
+    assert run["results"][0]["locations"][0]["physicalLocation"]["region"]["startColumn"] == 3 and len(run["tool"]["driver"]["rules"]) == 5
+    assert ElementTree.fromstring(read("junit")).attrib["failures"] == "1" and ElementTree.fromstring(read("xml"))[0].find("ruleId").text == "secret-value"
+    assert json.loads("".join(r.value for r in reports.document(found.limit(0), "json").collect())) == {"diagnostics": []}
     assert secret not in "".join(p.read_text() for p in tmp_path.rglob("part-*"))
     assert len(signatures.SIGNATURES) == 136
 
@@ -71,6 +83,7 @@ def test_span_selection(spark):
     rows = [("p", 0, 10, 1, "warning", True, "a"), ("p", 5, 8, 1, "warning", False, "b"), ("p", 4, 9, 2, "critical", False, "c"), ("q", 0, 5, 1, "critical", True, "d")]
     df = spark.createDataFrame(rows, schema)
     assert {r.fingerprint for r in spans.without_superseded(df).collect()} == {"c", "d"}
+    assert spans.without_superseded(df.union(df)).count() == 4
     assert {r.fingerprint for r in spans.without_known(df, spark.createDataFrame([("a",)], "fingerprint string")).collect()} == {"b", "c", "d"}
     texts = spark.createDataFrame([("p", "x = 1 # brindle:skip\n# brindle:skip\n\nif:\n  a\n  b\nc")], "path string, text string")
     lines = spans.directive_lines(texts)
