@@ -59,8 +59,11 @@ def page_urls(spark, sf_dir):
 
 
 def value_shapes(spark, sf_dir):
-    words = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n\r\f]+")).alias("word")).where("word <> ''").select(values.normalized(F.col("word")).alias("word")).distinct()
-    return words.select("word", *values.shapes(F.col("word"))).where(" OR ".join(values.SHAPES))
+    words_ = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n\r\f]+")).alias("word")).where("word <> ''").distinct()
+    # One alternation finds the few words with any shape; each shape is tested on those alone.
+    any_shape = "|".join(f"(?:{p})" for p in values.SHAPES.values())
+    shaped = words_.select(values.normalized(F.col("word")).alias("word")).distinct().where(F.col("word").rlike(any_shape))
+    return shaped.select("word", *values.shapes(F.col("word")))
 
 
 def value_entropy(spark, sf_dir):
@@ -328,6 +331,18 @@ def _values_sql(rows, columns: str) -> str:
     return f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in own)} FROM (VALUES {body}) AS v({', '.join(n for n, _ in own)})"
 
 
+def _url_types_sql() -> str:
+    listed = lambda xs: "(" + ", ".join(map(_q, xs)) + ")"
+    exact = " ".join(f"WHEN name = {_q(n)} THEN {_q(t)}" for n, t in files.BY_NAME.items())
+    stems = " ".join(f"WHEN name = '{s}' OR starts_with(name, '{s}.') OR ends_with(name, '.{s}') THEN '{t}'" for s, t in (("dockerfile", "Dockerfile"), ("jenkinsfile", "Groovy")))
+    by_extension = " ".join(f"WHEN extension IN {listed(x.split())} THEN {_q(t)}" for t, x in files.BY_EXTENSION.items())
+    return f"""SELECT page_id, CASE WHEN name = '.env' OR starts_with(name, '.env.') THEN 'DotEnv' {exact} {stems} WHEN regexp_matches(name, '^(redis|sentinel)(-.*)?\\.conf$') THEN 'Redis'
+        WHEN ends_with(name, '.blade.php') THEN 'Blade' {by_extension} WHEN extension = '' THEN 'Ini' ELSE 'none' END AS file_type,
+        CASE WHEN list_has_any(parts[1:len(parts) - 1], [{", ".join(map(_q, files.SKIPPED_DIRS))}]) THEN 'directory' WHEN parts[-1] IN {listed(files.METADATA_FILES)} THEN 'metadata' ELSE 'none' END AS skipped
+        FROM (SELECT *, regexp_extract(name, '^.+\\.([^.]*)$', 1) AS extension FROM (SELECT *, lower(parts[-1]) AS name FROM (
+          SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '/') AS parts FROM pages)))"""
+
+
 def _expected_sql() -> dict[str, str]:
     """What the authored fixtures give, and the SQL of relational operators over them."""
     groups = {p: g for g, p, _ in fixtures.FILES}
@@ -371,6 +386,7 @@ def _expected_sql() -> dict[str, str]:
             SELECT regexp_extract(path, '^([^/]*)', 1) AS root FROM p UNION SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1) FROM p WHERE page_id % 3 = 0)
             SELECT page_id, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON root <> '' AND (path = root OR starts_with(path, root || '/')) GROUP BY page_id""",
         "changed_documents": "SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "url_file_types": _url_types_sql(),
         "git_blob_ids": "SELECT doc_id, sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS oid FROM documents",
     }
 
