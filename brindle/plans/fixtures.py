@@ -7,6 +7,7 @@ the extractors alone give for some of them.
 
 from __future__ import annotations
 
+import base64
 import random
 
 _r = random.Random(7)
@@ -70,6 +71,7 @@ FILES = (
     ("schemas", "bitbucket-pipelines.yml", f"pipelines:\n  default:\n    - step:\n        script:\n          - PASSWORD={A} x\n"),
     ("schemas", ".buildkite/p.yml", f"steps:\n  - command: PASSWORD={A} x\n"),
     ("schemas", ".drone.yml", f"steps:\n  - name: b\n    commands:\n      - PASSWORD={A} x\n"),
+    ("schemas", "secret.yaml", "apiVersion: v1\nkind: Secret\ndata:\n  anything: " + base64.b64encode(A.encode()).decode() + f"\nstringData:\n  other: {B}\n"),
     ("schemas", ".travis.yml", f"script: PASSWORD={A} x\n"),
     ("keys", "config/master.key", "0123456789abcdef0123456789abcdef\n"),
     ("keys", "id_rsa", PEM.format("RSA ")),
@@ -111,7 +113,7 @@ FOUND = (
     ("mcp.json", "secret-assignment", _W, "API_KEY", "Variable", "Possible", 1), (".github/workflows/a.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 4), (".gitlab-ci.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 3),
     (".circleci/config.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 5), ("azure-pipelines.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 2), ("buildspec.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 4),
     ("bitbucket-pipelines.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 5), (".buildkite/p.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 2), (".drone.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 4),
-    (".travis.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 1),
+    (".travis.yml", "secret-assignment", _W, "PASSWORD", "Variable", "Possible", 1), ("secret.yaml", "secret-assignment", _W, "anything", "Element", "Possible", 4), ("secret.yaml", "secret-assignment", _W, "other", "Element", "Possible", 6),
     ("config/master.key", "text-secret", "critical", None, None, "RailsKey", None), ("id_rsa", "text-secret", "critical", None, None, "PrivateKey", None), ("id.ppk.txt", "text-secret", "critical", None, None, "PuttyKey", None),
     ("notes.md", "secret-value", "critical", None, None, "PrivateKey", 2), ("notes.md", "secret-value", "critical", None, None, "Signature", 5), ("Card.java", "secret-assignment", "critical", "cardNumber", "Variable", "CreditCard", 1),
     ("run", "secret-assignment", _W, "API_TOKEN", "Variable", "Possible", 2),

@@ -5,6 +5,7 @@ A text that isn't of its format gives None (not parsed); configuration lines and
 
 from __future__ import annotations
 
+import base64
 import plistlib
 import re
 from collections.abc import Callable
@@ -24,8 +25,11 @@ def _lines(text: str):
 
 
 def config(text: str, file_type: str = "Ini") -> list[Item]:
-    """`name = value` and `name: value` lines; .npmrc has `=` only. A line with an odd number of backslashes at its end goes on."""
-    kind = "EnvironmentVariable" if file_type in ("DotEnv", "FlaskEnv") else "Property"
+    """`name = value` and `name: value` lines; .npmrc has `=` only. A line with an odd number of backslashes at its end goes on.
+
+    The separator is the first that no backslash precedes. A value that no quote begins ends at a comment sign after white space.
+    """
+    kind = {"DotEnv": "EnvironmentVariable", "FlaskEnv": "EnvironmentVariable", "UserDatabase": "User"}.get(file_type, "Property")
     separators = "=" if file_type == "Npmrc" else "=:"
     found, held, begin = [], "", None
     for at, line in _lines(text):
@@ -33,26 +37,29 @@ def config(text: str, file_type: str = "Ini") -> list[Item]:
         if len(line) - len(line.rstrip("\\")) & 1:
             held += line[:-1] if not held else line[:-1].lstrip()
             continue
-        whole, end = (held + line.lstrip(), at + len(line)) if held else (line, at + len(line))
-        found += _config_line(whole, begin, end, kind, separators)
+        found += _config_line(held + line.lstrip(), begin, at + len(line), kind, separators, True) if held else _config_line(line, at, at + len(line), kind, separators, False)
         held, begin = "", None
     return found
 
 
-def _config_line(line: str, start: int, end: int, kind: str, separators: str) -> list[Item]:
+def _config_line(line: str, start: int, end: int, kind: str, separators: str, joined: bool) -> list[Item]:
     own = line.lstrip()
     if not own or own[0] in "#!;[":
         return []
     own = re.sub(r"^export[ \t]", "", own)
-    m = re.match(rf"([^{separators}]*)[{separators}](.*)", own, re.S)
-    if not m or not (key := m[1].strip().strip("\"'")):
+    m = re.match(rf"((?:\\.|[^\\{separators}])*)[{separators}](.*)", own, re.S)
+    if not m or not (key := m[1].rstrip()):
         return []
-    value = m[2].strip()
-    if value[:1] in ("'", '"') and (close := value.find(value[0], 1)) > 0:
-        value = value[1:close]
-    else:
-        value = re.sub(r"\s+[#;].*$", "", value).strip()
-    return [Item("assignment", key, kind, value, start, end)] if value else []
+    raw = m[2].strip()
+    if raw[:1] not in ("'", '"'):
+        raw = re.sub(r"(?<=[ \t])[#;].*$", "", raw, flags=re.S).rstrip()
+    value = raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "\"'" else raw
+    if not value:
+        return []
+    if not joined:  # the place of the value itself
+        start = start + line.rindex(m[2]) + len(m[2]) - len(m[2].lstrip()) if m[2] else start
+        end = start + len(raw)
+    return [Item("assignment", key, kind, value, start, end)]
 
 
 def netrc(text: str) -> list[Item]:
@@ -240,6 +247,22 @@ def yaml(text: str, hook: Hook | None = None) -> list[Item]:
     return [i for i in found if i.value]
 
 
+def secret_manifest(text: str) -> list[Item]:
+    """A cluster's Secret manifest: `stringData` as it is and `data` decoded from base64, as credentials by their place; the rest as YAML."""
+    found = []
+    for i in yaml(text):
+        if i.kind == "assignment" and i.scope[:1] in (("data",), ("stringData",)):
+            value = i.value
+            if i.scope[0] == "data":
+                try:
+                    value = base64.b64decode(value, validate=True).decode()
+                except ValueError:
+                    continue
+            i = Item("credential", i.name, "Element", value, i.start, i.end)
+        found.append(i)
+    return found
+
+
 class _Offsets:
     """Code-point offsets of expat's byte places."""
 

@@ -20,6 +20,7 @@ from brindle.sources.files import BY_EXTENSION, BY_NAME
 # What counts as a declarative configuration file, and interpreters of scripts.
 DECLARATIVE = ("DotEnv", "FlaskEnv", "GitConfig", "Npmrc", "Pypirc", "EditorConfig", "Ini", "Properties", "Json", "Yaml", "Toml", "Xml", "Hcl", "Plist")
 CONFIG_TYPES = ("DotEnv", "FlaskEnv", "GitConfig", "Npmrc", "Pypirc", "EditorConfig", "Ini", "Properties")
+USER_DATABASES = ("shadow", "gshadow", "passwd", "master.passwd", ".htpasswd", ".htdigest")
 INTERPRETERS = ((r"(?:ba|z|k|a|da)?sh", "Shell"), (r"python.*", "Python"), (r"ruby.*", "Ruby"), (r"node.*|deno|bun", "JavaScript"), (r"php", "Php"))
 _READERS = {
     "Netrc": data.netrc, "Pgpass": data.pgpass, "Esmtprc": data.esmtprc, "GitCredentials": data.git_credentials, "Redis": data.redis, "Shell": shell.extract, "Json": data.json, "Yaml": data.yaml, "Toml": data.toml, "Xml": data.xml,
@@ -56,8 +57,8 @@ def resolved_type(path: str, text: str) -> str | None:
             words = [w.rsplit("/", 1)[-1] for w in (m[1], m[2] or "")]
             called = words[1] if words[0] == "env" else words[0]
             return next((kind for pattern, kind in INTERPRETERS if re.fullmatch(pattern, called)), own)
-        if (blocks := detect.key_blocks(text)) and detect.only_filler(text, blocks):
-            return None
+        if re.match(r"\s*(?:-----BEGIN |PuTTY-User-Key-File-)", text):
+            return None  # a key and no configuration
     return own
 
 
@@ -66,6 +67,8 @@ def items(path: str, text: str) -> tuple[str | None, list[Item] | None]:
     if found := data.schema(path):
         kind, hook = found
         return kind, data.json(text, hook) if path.endswith(".json") else data.yaml(text, hook)
+    if path.endswith((".yml", ".yaml")) and re.search(r"^kind:[ \t]*[\"']?Secret\b", text, re.M) and re.search(r"^apiVersion:", text, re.M):
+        return "K8sSecret", data.secret_manifest(text)
     kind = resolved_type(path, text)
     if kind == "Jupyter":
         cells = data.notebook(text)
@@ -79,7 +82,7 @@ def items(path: str, text: str) -> tuple[str | None, list[Item] | None]:
                 out.append(Item(i.kind, i.name, i.assignment_type, i.value, at, at, i.scope))
         return kind, out
     if kind in CONFIG_TYPES:
-        return kind, data.config(text, kind)
+        return kind, data.config(text, "UserDatabase" if path.rsplit("/", 1)[-1].lower() in USER_DATABASES else kind)
     if kind in _READERS:
         return kind, _READERS[kind](text)
     return kind, code.extract(kind, text) if kind in code.LANGUAGES else None

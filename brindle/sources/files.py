@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Directories that are skipped by name, and files that operating systems leave behind.
 SKIPPED_DIRS = (".git", ".hg", ".svn", ".jj", "node_modules", "bower_components", "jspm_packages", "vendor", "vendors", "third_party", "third-party", "extern", "externals", "deps", ".cache", ".ccache", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".nox", ".eggs", ".gradle", ".maven", ".m2", ".ivy2", ".sbt", ".metals", ".bloop", ".dart_tool", ".npm", ".yarn", ".pnpm-store", ".cargo", ".rustup", ".bundle", ".gem", ".pub-cache", "Pods", "Carthage", "coverage", ".nyc_output", "htmlcov", ".coverage", "__snapshots__", ".terraform", ".serverless", ".pulumi")
 METADATA_FILES = (".DS_Store", "Thumbs.db", "desktop.ini")
+# Lock files of package managers, which are scanned unless a caller leaves them out.
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "Cargo.lock", "Gemfile.lock", "gems.locked", "poetry.lock", "composer.lock", "Pipfile.lock", "pubspec.lock", "go.sum", "flake.lock", "deno.lock")
 # File types by whole name and by extension.
 BY_NAME = {".flaskenv": "FlaskEnv", ".gitconfig": "GitConfig", ".git-credentials": "GitCredentials", ".npmrc": "Npmrc", ".pypirc": "Pypirc", ".editorconfig": "EditorConfig", ".ftpconfig": "Json", ".netrc": "Netrc", "_netrc": "Netrc", ".pgpass": "Pgpass", ".esmtprc": "Esmtprc", "gemfile": "Ruby", "rakefile": "Ruby", "podfile": "Ruby", "guardfile": "Ruby", "vagrantfile": "Ruby"}
 BY_EXTENSION = {
@@ -42,8 +44,8 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def skip_reason(path: Column, names: tuple[str, ...] = (), globs: tuple[str, ...] = ()) -> Column:
-    """Why a path is skipped, or null: a name, a glob, a skipped directory above it, a metadata file, in this order."""
+def skip_reason(path: Column, names: tuple[str, ...] = (), globs: tuple[str, ...] = (), lock_files: bool = False) -> Column:
+    """Why a path is skipped, or null: a name, a glob, a skipped directory above it, a metadata file, and a lock file if wanted, in this order."""
     parts = F.split(path, "/")
     file, dirs = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
     listed = lambda xs: F.array(*[F.lit(x) for x in xs])
@@ -51,7 +53,7 @@ def skip_reason(path: Column, names: tuple[str, ...] = (), globs: tuple[str, ...
     by_glob = F.lit(False)
     for glob in globs:
         by_glob = by_glob | path.rlike(glob_pattern(glob))
-    return F.when(by_name, "name").when(by_glob, "glob").when(F.arrays_overlap(dirs, listed(SKIPPED_DIRS)), "directory").when(file.isin(*METADATA_FILES), "metadata")
+    return F.when(by_name, "name").when(by_glob, "glob").when(F.arrays_overlap(dirs, listed(SKIPPED_DIRS)), "directory").when(file.isin(*METADATA_FILES), "metadata").when(F.lit(lock_files) & file.isin(*LOCK_FILES), "lock file")
 
 
 def file_type(path: Column) -> Column:

@@ -154,6 +154,12 @@ def test_data_formats():
     assert markup.html("") == [] and [i.name for i in markup.html("<a x=1 y='2'>")] == ["x", "y"]
 
 
+def test_configuration_lines():
+    line = lambda t, k="Ini": [(i.name, i.assignment_type, i.value, t[i.start : i.end]) for i in data.config(t, k)]
+    assert line("a\\=b = 'c # d' ") == [("a\\=b", "Property", "c # d", "'c # d'")] and line("export A=b#c #d", "DotEnv") == [("A", "EnvironmentVariable", "b#c", "b#c")]
+    assert line("k: v = w", "Npmrc") == [("k: v", "Property", "w", "w")] and line("k = x\\\n   y") == [("k", "Property", "xy", "k = x\\\n   y")] and line("k = ''") == [] and line("root:x") == [("root", "Property", "x", "x")]
+
+
 def test_base64_gate():
     secret = fixtures.NPM
     at = lambda t: (t, t.index(secret), t.index(secret) + len(secret))
