@@ -3,9 +3,9 @@
 Benchmark items become windows of 13 words (a shorter item is one window); all windows go
 into one automaton over normalised text, which every document passes once. Matches are
 mapped back to the document's words and to code-point offsets in the original text. A
-benchmark of more than ``BLOCK_BYTES`` is taken in blocks of about that size: each batch of
-documents passes an automaton per block and each row carries its marked words along, without
-a shuffle. More than ``GROUP_BYTES`` are broadcast in groups, one after the other.
+benchmark of more than ``BLOCK_BYTES`` is taken in blocks of about that size: documents of
+``HELD_BYTES`` together pass an automaton per block and each row carries its marked words
+along, without a shuffle. More than ``GROUP_BYTES`` are broadcast in groups, one after the other.
 
 Defined results: null and empty texts have no words and are never contaminated; items
 without words are never found; repeated windows and items count once per item id; benchmark rows
@@ -30,6 +30,8 @@ WINDOW = 13
 BLOCK_BYTES = 400_000
 #: Benchmark text that is broadcast at once, in bytes.
 GROUP_BYTES = 32_000_000
+#: Documents that pass the automata of several blocks together, in bytes.
+HELD_BYTES = 32_000_000
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(b if b in _KEEP else 32 for b in bytes(range(256)).lower())
 
@@ -130,21 +132,33 @@ def _pass(name: str, group, text_at: int, finish):
     A worker holds one block's automaton at a time, and keeps it where there is no other block.
     """
 
+    def passed(held):
+        raws = [[(t or "").encode() for t in frame.column(text_at).to_pylist()] for frame in held]
+        masks, items = ([frame.column(frame.num_columns - k).to_pylist() for frame in held] for k in (3, 2))
+        counts = [[0] * len(own) for own in raws]
+        for number, block in enumerate(group.value):
+            machine = shared.remembered(("automaton", name, number), lambda b=block: automaton(windows(b)))
+            for i, own in enumerate(raws):
+                for at, raw in enumerate(own):
+                    counts[i][at], marked, found = hits(raw, machine)
+                    if marked is not None:
+                        if masks[i][at] is not None:
+                            marked |= _bits(masks[i][at], len(marked))
+                        masks[i][at] = np.packbits(marked).tobytes()
+                        items[i][at] += _ordered(found)
+        for each in zip(held, raws, masks, items, counts, strict=True):
+            yield finish(*each)
+
     def run(frames):
+        held, size = [], 0
         for frame in frames:
-            raws = [(t or "").encode() for t in frame.column(text_at).to_pylist()]
-            masks, items = (frame.column(frame.num_columns - k).to_pylist() for k in (3, 2))
-            counts = [0] * len(raws)
-            for number, block in enumerate(group.value):
-                machine = shared.remembered(("automaton", name, number), lambda b=block: automaton(windows(b)))
-                for at, raw in enumerate(raws):
-                    counts[at], marked, found = hits(raw, machine)
-                    if marked is not None:
-                        if masks[at] is not None:
-                            marked |= _bits(masks[at], len(marked))
-                        masks[at] = np.packbits(marked).tobytes()
-                        items[at] += _ordered(found)
-            yield finish(frame, raws, masks, items, counts)
+            held.append(frame)
+            size += frame.nbytes
+            if len(group.value) < 2 or size >= HELD_BYTES:  # one automaton stays; several are built anew for what is held
+                yield from passed(held)
+                held, size = [], 0
+        if held:
+            yield from passed(held)
 
     return run
 
