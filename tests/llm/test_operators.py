@@ -1,4 +1,4 @@
-"""Small fixtures against brute force; every case includes nulls, empty texts, ties, extra and clashing columns."""
+"""Small fixtures against brute force; odd rows and clashing columns for all operators are in test_edges.py."""
 
 import collections
 import hashlib
