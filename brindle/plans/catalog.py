@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from brindle.functions import names, text, values
 from brindle.operators import extract, files_scan, scan, spans
 from brindle.plans import fixtures, reports
-from brindle.scanner import detect, shapes, verdicts, words
+from brindle.scanner import detect, dictionary, shapes, shell, verdicts, words
 from brindle.sources import files, history, options, providers, services, signatures
 from brindle.streaming import watch
 
@@ -290,6 +291,78 @@ def validation_statuses(spark, sf_dir):
     return providers.with_status(spark, asked, answers).select("finding", "validation")
 
 
+def _of_pairs(spark, rows, columns: str, test, kind: str = "boolean"):
+    """``rows`` (two strings each) with what a Python function says of them."""
+
+    @F.pandas_udf(kind)
+    def told(a, b):
+        return a.combine(b, test)
+
+    first, second, name = columns.split()
+    return spark.createDataFrame([r[:2] for r in rows], f"{first} string, {second} string").select(first, second, told(first, second).alias(name))
+
+
+def path_rules(spark, sf_dir):
+    """Why paths are skipped by names, globs, directories, metadata files and lock files."""
+    rows = spark.createDataFrame([(p,) for p, _ in fixtures.PATHS], "path string")
+    return rows.select("path", files.skip_reason(F.col("path"), ("secret.txt",), ("docs/**/*.md",), True).alias("reason"))
+
+
+def glob_matches(spark, sf_dir):
+    """Globs over paths, by the pattern that each becomes."""
+    rows = [(g, p, files.glob_pattern(g)) for g, p, _ in fixtures.GLOBS]
+    return spark.createDataFrame(rows, "glob string, path string, pattern string").select(F.col("glob").alias("rule"), "path", F.expr("path RLIKE pattern").alias("matches"))
+
+
+def dictionary_verdicts(spark, sf_dir):
+    """What known words say about values."""
+    own = frozenset(fixtures.WORDS)
+
+    def holds(value, test):
+        words_ = dictionary.Dictionary(own)
+        return getattr(words_, test)(value, value) if test == "identifier" else getattr(words_, test)(value)
+
+    return _of_pairs(spark, fixtures.VERDICTS, "value test holds", holds)
+
+
+def shell_commands(spark, sf_dir):
+    """The simple commands of scripts."""
+    rows = [(s, "") for s, _ in fixtures.COMMANDS]
+    return _of_pairs(spark, rows, "script nothing commands", lambda s, _: ";".join("|".join([n, *a]) for n, a in shell.invocations(s)), "string").drop("nothing")
+
+
+def tree_paths(spark, sf_dir):
+    """The values of trees at paths."""
+    return _of_pairs(spark, fixtures.TREES, "tree path found", lambda t, p: ",".join(str(v) for v in text.find_all(json.loads(t), [text.ANY if k == "*" else k for k in p.split(".")])), "string")
+
+
+def rescanned_files(spark, sf_dir):
+    """Whether files are scanned again after an ignore file and a file change."""
+    tree = spark.createDataFrame([(p,) for p, _ in fixtures.AGAIN], "path string")
+    again = watch.invalidated(spark.createDataFrame([(p,) for p in fixtures.CHANGED], "path string"), tree).withColumn("again", F.lit(True))
+    return tree.join(again, "path", "left").select("path", F.coalesce("again", F.lit(False)).alias("again"))
+
+
+def flagged_files(spark, sf_dir):
+    """Whether each authored file has a finding: the incremental scan's state."""
+    tree = _fixture_files(spark)
+    return reports.flagged(files_scan.scan_files(tree), tree)
+
+
+def report_documents(spark, sf_dir):
+    """How many findings each kind of single document holds, read back from it."""
+    found = files_scan.scan_files(_fixture_files(spark))
+    counted = {
+        "json": "size(from_json(d, 'diagnostics array<struct<ruleId string>>').diagnostics)", "sarif": "size(from_json(d, 'runs array<struct<results array<struct<ruleId string>>>>').runs[0].results)",
+        "junit": "CAST(xpath_number(d, 'count(/testsuite/testcase/failure)') AS INT)", "xml": "CAST(xpath_number(d, 'count(/diagnostics/diagnostic/ruleId)') AS INT)",
+    }
+    made = None
+    for kind, how in counted.items():  # the authored files have few findings, so a document fits in a row here
+        one = reports.document(found, kind).agg(F.array_join(F.collect_list("value"), "\n").alias("d")).select(F.lit(kind).alias("kind"), F.expr(how).alias("findings"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 def summary_line(spark, sf_dir):
     """The summary row of the authored files' scan, with its line."""
     tree = _fixture_files(spark)
@@ -306,6 +379,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types, document_config, event_trees,
         service_mentions, document_services, mention_providers, classify_names, value_predicates, severity_matrix, binary_stores, header_credentials, connection_strings, url_secrets, tree_reasons, cutoff_times,
         call_parameters, superseded_spans, report_words, blob_history, commit_ancestors, nearest_roots, changed_documents, validation_statuses, summary_line,
+        path_rules, glob_matches, dictionary_verdicts, shell_commands, tree_paths, rescanned_files, flagged_files, report_documents,
         *[_fixture_scan(group) for group in ("code", "data", "markup", "schemas", "keys")],
     )
     return {f.__name__: f for f in found}
@@ -371,6 +445,14 @@ def _expected_sql() -> dict[str, str]:
         "cutoff_times": _values_sql(fixtures.CUTOFFS, "value VARCHAR, seconds BIGINT"),
         "report_words": _values_sql([*fixtures.ARTICLES, *[(f"{o} {n_}", s) for o, n_, s in fixtures.ACCESSES]], "subject VARCHAR, shown VARCHAR"),
         "validation_statuses": _values_sql(statuses.items(), "finding INTEGER, validation VARCHAR"),
+        "path_rules": _values_sql(fixtures.PATHS, "path VARCHAR, reason VARCHAR"),
+        "glob_matches": _values_sql(fixtures.GLOBS, "rule VARCHAR, path VARCHAR, matches BOOLEAN"),
+        "dictionary_verdicts": _values_sql(fixtures.VERDICTS, "value VARCHAR, test VARCHAR, holds BOOLEAN"),
+        "shell_commands": _values_sql(fixtures.COMMANDS, "script VARCHAR, commands VARCHAR"),
+        "tree_paths": _values_sql(fixtures.TREES, "tree VARCHAR, path VARCHAR, found VARCHAR"),
+        "rescanned_files": _values_sql(fixtures.AGAIN, "path VARCHAR, again BOOLEAN"),
+        "flagged_files": _values_sql([(p, p in {f[0] for f in fixtures.FOUND}) for _, p, _ in fixtures.FILES], "path VARCHAR, found BOOLEAN"),
+        "report_documents": _values_sql([(k, n) for k in ("json", "sarif", "junit", "xml")], "kind VARCHAR, findings INTEGER"),
         "summary_line": _values_sql([(len(fixtures.FILES), 1500, n_critical, n - n_critical, n, f"Scanned {len(fixtures.FILES)} files in 1.50s. Found {n_critical} secrets and {n - n_critical} warnings.")], "scanned_files BIGINT, elapsed_ms BIGINT, critical BIGINT, warning BIGINT, total BIGINT, message VARCHAR"),
         "call_parameters": f"""SELECT path, callee, seq, CAST(i - 1 AS INTEGER) AS position, params[i] AS parameter, args[i] AS argument FROM (
             SELECT c.path, c.callee, c.seq, args, params, unnest(range(1, least(len(args), len(params)) + 1)) AS i

@@ -177,3 +177,20 @@ KEPT = (3, 5, 6, 7, 8)
 #: (article for, article), and (object, name, access)
 ARTICLES = (("AWS key", "an"), ("possible secret", "a"), ("API token", "an"), ("URL secret", "a"), ("unit", "a"), ("Adyen key", "an"), ("SSH key", "an"))
 ACCESSES = (("a", "b", "a.b"), ("a", "b c", 'a["b c"]'), ("a", "1x", 'a["1x"]'), ("a", 'q"r', 'a["q\\"r"]'), ("a", "$_", "a.$_"))
+#: (path, why the column rules skip it), with the names `secret.txt`, the glob `docs/**/*.md` and lock files left out.
+PATHS = (("node_modules/x.js", "directory"), ("a/secret.txt", "name"), ("docs/x/y.md", "glob"), ("docs/y.md", "glob"), (".DS_Store", "metadata"), ("yarn.lock", "lock file"), ("src/a.py", None), ("a/node_modules", None))
+#: (glob, path, whether it matches)
+GLOBS = (("*.py", "a.py", True), ("*.py", "x/a.py", False), ("**/*.py", "x/y/a.py", True), ("**/*.py", "a.py", True), ("a?.{js,ts}", "ab.ts", True), ("a?.{js,ts}", "abc.ts", False), ("[!a]b", "cb", True), ("[!a]b", "ab", False), ("x/**", "x/y/z", True))
+#: A dictionary, and (value, the test, whether it holds) under it.
+WORDS = ("purple", "monkey", "dishwasher", "administrator", "green")
+VERDICTS = (
+    ("purpleMonkeyDishwasher", "known_words", True), ("purpleXk", "known_words", False), ("purple9monkeyZq", "known_words", True), ("purplemonkey", "known_words", True), ("zqxwvkjh", "known_words", False), ("administratorx", "run_together", True),
+    ("administrator1", "run_together", False), ("purple_monkey-zz", "identifier", True), ("purplemonkey", "identifier", False), ("xadministratorx", "long_word", True), ("administrator" + "x" * 40, "long_word", False),
+)
+#: (script, its commands)
+COMMANDS = (("A=1 curl -H 'x y' | grep z", "curl|-H|x y;grep|z"), ("if true; then echo \"a b\" # c\nfi", "if|true;then|echo|a b;fi"), ("", ""))
+#: (tree as JSON, path with * for any step, the values there)
+TREES = (('{"a": [{"b": 1}, {"b": 2}, {"c": 3}]}', "a.*.b", "1,2"), ('{"a": {"x": "1", "y": "2"}}', "a.*", "1,2"), ('{"a": 1}', "b", ""))
+#: Changed paths, and (path, whether it is scanned again).
+CHANGED = ("x/.gitignore", "z/d.py")
+AGAIN = (("a.py", False), ("x/b.py", True), ("x/y/c.py", True), ("z/d.py", True), ("z/e.py", False))
