@@ -1,7 +1,7 @@
 """Toxicity scores from a lexicon trie intersected with Levenshtein automata.
 
-The lexicon is learned: words whose document counts in toxic and other labelled rows differ
-by a likelihood-ratio test of ``EVIDENCE``. It is kept as a trie. Each new word of a text
+The lexicon is learned: words whose counts in toxic and other labelled texts, near copies
+counted about once, differ by a likelihood-ratio test of ``EVIDENCE``. It is kept as a trie. Each new word of a text
 becomes a bit-parallel Levenshtein automaton, which walks the trie and finds the terms
 within one edit or swap of neighbours, so misspelled terms count too. Around each hit a window of ``CONTEXT``
 words tells quotation (quotation marks, words about words) from abuse. The weights of exact,
@@ -179,11 +179,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     """A scorer, or the one score that there is without labels of both classes."""
     at = shared.work_dir(spark, "toxicity")
     sample = shared.written(classify.labelled_sample(docs, labels, "toxic", 4, 2, rows), f"{at}/sample")
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Words are counted in clusters of texts: near copies share their least word hash, and so count about once.
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))
+    sets = shared.written(sample.select("label", own.alias("words")).withColumn("cluster", F.coalesce(F.expr("array_min(transform(words, w -> xxhash64(w)))"), F.lit(0).cast("long"))), f"{at}/sets")
+    counts = {r["label"]: r["n"] for r in sets.groupBy("label").agg(F.countDistinct("cluster").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     if not n_pos or not n_neg:
         return float(bool(n_pos))
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))).alias("word"))
+    words = sets.select("label", "cluster", F.explode("words").alias("word")).distinct()
     words = words.groupBy("word").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     words = shared.written(words, f"{at}/words")
     share = n_pos / (n_pos + n_neg)  # twice the log-likelihood ratio of a word's counts against the classes' shares
