@@ -5,9 +5,9 @@ in chunks of ``CHUNK`` bytes with either dictionary; the difference of the two c
 sizes by its length, calibrated by a logistic regression on labelled rows that built no
 dictionary, is the score. All bytes of every text are compressed.
 
-The fit uses at most ``SAMPLE_ROWS`` labelled rows, each whole. Half of them build the
-dictionaries, on the driver; the other half's sizes for the calibration are taken on the
-executors, and two numbers a row come back.
+The fit uses at most ``SAMPLE_ROWS`` labelled rows. Half of them build the dictionaries, each
+with up to ``DRAWN`` chunks from its beginning to its end; the other half's sizes for the
+calibration are taken on the executors over all their bytes, and two numbers a row come back.
 
 Defined results: null and empty texts have a difference of 0 and so the score that the
 calibration gives to no evidence; without labels of both classes every score is the share
@@ -29,15 +29,21 @@ CHUNK = 2048
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 THRESHOLD = 0.3
+#: Chunks of a text that build a dictionary, drawn at equal distances from all of it, so that long texts don't make up most of one.
+DRAWN = 8
 
 
 def _chunks(raw: bytes) -> list[bytes]:
     return [raw[at : at + CHUNK] for at in range(0, len(raw), CHUNK)]
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _drawn(raw: bytes) -> list[bytes]:
+    chunks = _chunks(raw)
+    return chunks if len(chunks) <= DRAWN else [chunks[i * (len(chunks) - 1) // (DRAWN - 1)] for i in range(DRAWN)]
+
+
+def _dictionary(parts: list[bytes]) -> bytes:
     """A trained dictionary; the last bytes themselves where there is too little text to train on."""
-    parts = [c for t in texts for c in _chunks(t)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:
@@ -75,8 +81,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer |
     builds = {i for own in of.values() for i in (own[::2] if len(own) > 1 else own)}
     rest = [i for own in of.values() for i in own[1::2]]
     rest = set(rest if all(len(own) > 1 for own in of.values()) else [i for _, i in ids])
-    found = sorted((r["doc_id"], r["label"], r["text"]) for r in sample.where(F.col("doc_id").isin(*builds)).toLocalIterator())
-    good, bad = (_dictionary([text.encode() for _, own, text in found if own == label]) for label in (1, 0))
+
+    def drawn(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            parts = [_drawn(text.encode()) for text in frame.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "label", "parts"])
+
+    rows_ = sample.where(F.col("doc_id").isin(*builds)).select("doc_id", "label", "text").mapInArrow(drawn, "doc_id long, label int, parts array<binary>")
+    found = sorted((r["doc_id"], r["label"], [bytes(c) for c in r["parts"]]) for r in rows_.toLocalIterator())
+    good, bad = (_dictionary([c for _, own, parts in found if own == label for c in parts]) for label in (1, 0))
 
     def sizes(frames):
         import pyarrow as pa
