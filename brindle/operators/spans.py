@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import arrays
+from brindle.scanner.scan import skipped_lines
 from brindle.sources import signatures
 
 
@@ -104,23 +105,7 @@ def directive_lines(files: DataFrame, marker: str = "brindle:skip", most: int =
         import pyarrow as pa
 
         for frame in frames:
-            out = []
-            for path, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                depth = lambda i: len(lines[i]) - len(lines[i].lstrip())  # noqa: E731, B023
-                for i, line in enumerate(lines):
-                    at = line.find(marker)
-                    if at < 0:
-                        continue
-                    if line[:at].strip(" \t#/*;-<!"):
-                        out.append((path, i + 1, i + 1))
-                        continue
-                    first = next((j for j in range(i + 1, len(lines)) if lines[j].strip()), None)
-                    if first is not None:
-                        last = first
-                        while last + 1 < len(lines) and last + 1 - first < most and lines[last + 1].strip() and depth(last + 1) > depth(first):
-                            last += 1
-                        out.append((path, first + 1, last + 1))
+            out = [(path, *lines) for path, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for lines in skipped_lines(text, marker, most)]
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["path", "first_line", "last_line"])
 

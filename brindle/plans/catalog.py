@@ -28,6 +28,12 @@ def scan_documents(spark, sf_dir):
     return scan.assignment_findings(document_assignments(spark, sf_dir)).drop("value")
 
 
+def document_findings(spark, sf_dir):
+    """The findings report over documents: assignments and payment card numbers."""
+    cards = document_cards(spark, sf_dir).select("id", F.lit("secret-value").alias("rule_id"), F.lit("warning").alias("severity"), F.lit("CreditCard").alias("kind"), "start")
+    return scan_documents(spark, sf_dir).select("id", "rule_id", "severity", "kind", "start").unionByName(cards)
+
+
 def scan_summary(spark, sf_dir):
     return reports.summary(scan_documents(spark, sf_dir))
 
@@ -375,7 +381,7 @@ URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)[^?#]*(?:\?([^#]*
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        scan_documents, document_assignments, scan_summary, findings_rollup, document_cards, page_cards, document_signatures, page_attributes, page_urls, value_shapes,
+        scan_documents, document_findings, document_assignments, scan_summary, findings_rollup, document_cards, page_cards, document_signatures, page_attributes, page_urls, value_shapes,
         value_entropy, name_words, event_bursts, event_properties, unlisted_documents, git_blob_ids, line_counts, url_file_types, document_config, event_trees,
         service_mentions, document_services, mention_providers, classify_names, value_predicates, severity_matrix, binary_stores, header_credentials, connection_strings, url_secrets, tree_reasons, cutoff_times,
         call_parameters, superseded_spans, report_words, blob_history, commit_ancestors, nearest_roots, changed_documents, validation_statuses, summary_line,
@@ -518,6 +524,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE regexp_matches(v, secret) OR (shown <> '' AND regexp_matches(v, shown)) GROUP BY ALL""",
         "document_assignments": assigned,
         "scan_documents": findings,
+        "document_findings": f"""SELECT id, rule_id, severity, kind, start FROM ({findings}) UNION ALL SELECT id, 'secret-value', 'warning', 'CreditCard', start FROM ({cards("documents", "doc_id", "text")})""",
         "scan_summary": f"SELECT CAST(count_if(severity = 'critical') AS BIGINT) AS critical, CAST(count_if(severity = 'warning') AS BIGINT) AS warning, count(*) AS total FROM ({findings})",
         "findings_rollup": f"SELECT source, kind, count(*) AS n FROM ({findings}) f JOIN documents d ON d.doc_id = f.id GROUP BY ROLLUP (source, kind)",
         "document_cards": cards("documents", "doc_id", "text"),
