@@ -1,7 +1,8 @@
 """Toxicity scores from a lexicon trie intersected with Levenshtein automata.
 
 The lexicon is learned: words whose document counts in toxic and other labelled rows differ
-by a likelihood-ratio test of ``EVIDENCE``. It is kept as a trie. Each new word of a text
+by a likelihood-ratio test of ``EVIDENCE``. Those that pass with near copies counted about
+once, too, are kept as a trie. Each new word of a text
 becomes a bit-parallel Levenshtein automaton, which walks the trie and finds the terms
 within one edit or swap of neighbours, so misspelled terms count too. Around each hit a window of ``CONTEXT``
 words tells quotation (quotation marks, words about words) from abuse. The weights of exact,
@@ -45,16 +46,18 @@ _SAYING = frozenset(("said", "says", "word", "words", "term", "called", "quote",
 class Lexicon:
     """Terms as a trie; ``near(word)`` gives the terms within an edit, with their distances."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], varied: frozenset[int] | None = None):
+        """varied: the terms that are sought misspelled, too; all if None."""
         self.trie: dict = {}
         self.terms = {t: i for i, t in enumerate(terms)}
         heads: dict[int, set[str]] = {}
         tails: dict[int, set[str]] = {}
         self.crossed: set[tuple[str, str]] = set()  # what a swap across the middle leaves as it is
-        self.short = {t for t in terms if len(t) == SHORTEST_FUZZY}
+        sought = [(i, t) for i, t in enumerate(terms) if varied is None or i in varied]
+        self.short = {t for _, t in sought if len(t) == SHORTEST_FUZZY}
         self.gaps = {(t[:i], t[i + 1 :]) for t in self.short for i in range(len(t))}  # short terms less a letter
         self.less = {a + b for a, b in self.gaps}
-        for i, term in enumerate(terms):
+        for i, term in sought:
             node = self.trie
             for letter in term:
                 node = node.setdefault(letter, {})
@@ -120,9 +123,9 @@ class Lexicon:
 
 
 class Scorer:
-    def __init__(self, terms: list[str], exact: list[float], fuzzy: list[float], weights: list[float]):
-        self.state = terms, exact, fuzzy, weights
-        self.lexicon, self.exact, self.fuzzy, self.weights = Lexicon(terms), exact, fuzzy, np.array(weights)
+    def __init__(self, terms: list[str], varied: frozenset[int], exact: list[float], fuzzy: list[float], weights: list[float]):
+        self.state = terms, varied, exact, fuzzy, weights
+        self.lexicon, self.exact, self.fuzzy, self.weights = Lexicon(terms, varied), exact, fuzzy, np.array(weights)
         self.bad: dict[str, tuple[float, float]] = {}
         self.bad_chunks: set[str] = set()
         self.fine: set[str] = set()
@@ -179,28 +182,37 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     """A scorer, or the one score that there is without labels of both classes."""
     at = shared.work_dir(spark, "toxicity")
     sample = shared.written(classify.labelled_sample(docs, labels, "toxic", 4, 2, rows), f"{at}/sample")
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
+    # Near copies share their least word hash. Only terms that also pass with such clusters counted once are sought misspelled.
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))
+    sets = shared.written(sample.select("label", own.alias("words")).withColumn("cluster", F.coalesce(F.expr("array_min(transform(words, w -> xxhash64(w)))"), F.lit(0).cast("long"))), f"{at}/sets")
+    counts = {r["label"]: (r["n"], r["c"]) for r in sets.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("c")).collect()}
+    (n_pos, c_pos), (n_neg, c_neg) = counts.get(1, (0, 0)), counts.get(0, (0, 0))
     if not n_pos or not n_neg:
         return float(bool(n_pos))
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))).alias("word"))
-    words = words.groupBy("word").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    words = shared.written(words, f"{at}/words")
-    share = n_pos / (n_pos + n_neg)  # twice the log-likelihood ratio of a word's counts against the classes' shares
-    ratio = f"2 * (pos * ln(pos / ((pos + neg) * {share!r}D)) + IF(neg > 0, neg * ln(neg / ((pos + neg) * {1 - share!r}D)), 0))"
-    signs = words.where(f"pos >= 3 AND length(word) >= 3 AND pos * {n_neg} > 4 * neg * {n_pos} AND {ratio} >= {EVIDENCE}").collect()  # words of at most ``rows`` texts
-    chosen = sorted((r["word"], _odds(r["pos"], r["neg"], n_pos, n_neg)) for r in signs)
-    terms, exact = [w for w, _ in chosen], [o for _, o in chosen]
+    words = sets.select("label", "cluster", F.explode("words").alias("word")).groupBy("word", "label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    sums = {"pos": F.col("n") * F.col("label"), "neg": F.col("n") * (1 - F.col("label")), "c_pos": F.col("label"), "c_neg": 1 - F.col("label")}
+    words = shared.written(words.groupBy("word").agg(*[F.sum(c).alias(name) for name, c in sums.items()]), f"{at}/words")
+
+    def evidence(pos: str, neg: str, n_pos: int, n_neg: int) -> str:
+        """Twice the log-likelihood ratio of a word's counts against the classes' shares; 0 where it is no toxic sign."""
+        share = n_pos / (n_pos + n_neg)
+        ratio = f"2 * ({pos} * ln({pos} / (({pos} + {neg}) * {share!r}D)) + IF({neg} > 0, {neg} * ln({neg} / (({pos} + {neg}) * {1 - share!r}D)), 0))"
+        return f"IF({pos} >= 3 AND {pos} * {n_neg} > 4 * {neg} * {n_pos}, {ratio}, 0)"
+
+    told = words.select("word", "pos", "neg", F.expr(evidence("pos", "neg", n_pos, n_neg)).alias("texts"), F.expr(evidence("c_pos", "c_neg", c_pos, c_neg)).alias("clusters"))
+    signs = sorted(told.where(f"length(word) >= 3 AND texts >= {EVIDENCE}").collect(), key=lambda r: r["word"])  # words of at most ``rows`` texts
+    terms, exact = [r["word"] for r in signs], [_odds(r["pos"], r["neg"], n_pos, n_neg) for r in signs]
+    varied = frozenset(i for i, r in enumerate(signs) if r["clusters"] >= EVIDENCE)
 
     def misspelled(frames):
         import pyarrow as pa
 
-        lexicon = Lexicon(terms)
+        lexicon = Lexicon(terms, varied)
         for frame in frames:
             hits = [(t, p, n) for w, p, n in zip(*[c.to_pylist() for c in frame.columns], strict=True) for t, d in lexicon.near(w) if d]
             yield pa.RecordBatch.from_pydict({k: [h[i] for h in hits] for i, k in enumerate(("term", "pos", "neg"))}, schema=pa.schema([(k, pa.int64()) for k in ("term", "pos", "neg")]))
 
-    near = words.mapInArrow(misspelled, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    near = words.select("word", "pos", "neg").mapInArrow(misspelled, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
     seen = {r["term"]: (r["pos"], r["neg"]) for r in near}
     # A term's misspellings start from half its own weight and lose it as they show up in harmless rows.
     fuzzy = []
@@ -211,7 +223,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     def features(frames):
         import pyarrow as pa
 
-        scorer = Scorer(terms, exact, fuzzy, [0] * 7)
+        scorer = Scorer(terms, varied, exact, fuzzy, [0] * 7)
         for frame in frames:
             rows = [[float(label), *scorer.features(text)] for text, label in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
@@ -220,7 +232,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     weights = classify.logistic(table[:, 1:], table[:, 0], ridge=0.5)
     if not weights[3:5].any():
         weights[3] = weights[1] / 2  # no misspelling among the labelled rows: half an exact hit's weight
-    return Scorer(terms, exact, fuzzy, weights.tolist())
+    return Scorer(terms, varied, exact, fuzzy, weights.tolist())
 
 
 def _scorer(state) -> Scorer:
