@@ -8,8 +8,9 @@ the tree grows with the training text. Distributions are smoothed by their suffi
 pseudo-counts).
 
 The tree stays in shards by the two symbols next to the predicted one. Each batch of texts
-sends a shard its distinct (context, next) codes with the rows they occur in, and gets back
-the rows' sums of log probabilities; only contexts of up to one symbol go to all workers.
+sends a shard its distinct (context, next) codes with the rows they occur in (as steps from one
+row to the next), and gets back the rows' sums of log probabilities; only contexts of up to one
+symbol go to all workers.
 
 Counts travel as sorted, compressed blocks, by the two symbols next to the predicted one.
 The unigram base needs each token's training count: tokens with ``FREQUENT`` of all training
@@ -62,13 +63,17 @@ def _batches(frames, column: int):
             yield frame, at, frame.column(column).slice(at, step).to_pylist()
 
 
-def gram_codes(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
-    """The (context, next) code of each place, oldest symbol first. Starts are padded by end symbols."""
+def gram_codes(streams: list[bytes], depth: int = DEPTH, numbers: np.ndarray | None = None, bits: int = 8) -> np.ndarray:
+    """The (context, next) code of each place, oldest symbol first. Starts are padded by end symbols.
+
+    ``numbers`` are the symbols' numbers of ``bits`` bits, by byte; without them a symbol is its byte.
+    """
     pad = bytes([END]) * depth
     buffer = np.frombuffer(b"".join(pad + s for s in streams), np.uint8)
-    codes = np.zeros(len(buffer) - depth, np.uint64)
-    for k in range(depth + 1):
-        codes = codes << np.uint64(8) | buffer[k : len(buffer) - depth + k]
+    codes, size = (buffer if numbers is None else numbers[buffer]).astype(np.uint64), 1
+    while size <= depth:  # by doubling: the code from here on, and the last symbols of one further on
+        step = min(size, depth + 1 - size)
+        codes, size = codes[:-step] << np.uint64(bits * step) | codes[step:] & np.uint64((1 << bits * step) - 1), size + step
     real = np.ones(len(buffer), bool)
     ends = np.cumsum([len(s) + depth for s in streams])
     for k in range(depth):
@@ -279,27 +284,71 @@ def likelihoods(codes: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.n
     return np.log10(p)
 
 
-def _places(codes: np.ndarray, rows: np.ndarray, shards: int):
-    """(shard, packed distinct codes and counts, packed rows) of a batch's places."""
-    order = np.argsort(codes, kind="stable")
-    codes, rows = codes[order], rows[order]
-    of = _shards(codes, shards)
-    order = np.argsort(of.astype(np.int32), kind="stable")
-    codes, rows = codes[order], rows[order]
-    ends = np.cumsum(np.bincount(of.astype(np.int64), minlength=shards))
-    for shard, (first, last) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-        if first < last:
-            own = codes[first:last]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            planes = rows[first:last].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-            yield shard, _packed(own[starts], np.diff(np.append(starts, len(own)))), zstandard.ZstdCompressor(level=1).compress(planes)
+def _places(streams: list[bytes], shards: int):
+    """(shard, packed distinct codes and counts, packed rows) of a batch's places; ``rows`` are the streams' numbers.
+
+    Symbols are numbered in the order of their bytes, so that a code and its row fit into one number and a
+    plain sort brings equal codes together. Where they don't, each half of the batch has blocks of its own.
+    """
+    seen = np.flatnonzero(np.bincount(np.frombuffer(b"".join([*streams, bytes([END])]), np.uint8), minlength=256))
+    numbers = np.zeros(256, np.uint8)
+    numbers[seen] = np.arange(len(seen))
+    bits = max(1, int(len(seen) - 1).bit_length())
+    pairs = np.arange(len(seen))[:, None] << bits | np.arange(len(seen))
+    of_pair = np.zeros(1 << 2 * bits, np.uint16 if shards <= 1 << 16 else np.uint32)  # of two bytes, places are dealt by counting
+    of_pair[pairs] = _shards((seen[:, None] << 8 | seen).astype(np.uint64) << np.uint64(8), shards)
+    most, at = 1 << 64 - bits * (DEPTH + 1), 0
+    step = len(streams) if len(streams) <= most else min(most, -(-len(streams) // 2))
+    while at < len(streams):
+        own, first_row, at = streams[at : at + step], at, at + step
+        row_bits = np.uint64(max(1, (len(own) - 1).bit_length()))
+        keys = gram_codes(own, DEPTH, numbers, bits)
+        of = of_pair[(keys >> np.uint64(bits) & np.uint64((1 << 2 * bits) - 1)).astype(np.int64)]
+        keys = keys << row_bits | np.repeat(np.arange(len(own), dtype=np.uint64), [len(s) for s in own])
+        keys = keys[np.argsort(of, kind="stable")]
+        ends = np.cumsum(np.bincount(of, minlength=shards))
+        for shard, (first, last) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if first < last:
+                found = np.sort(keys[first:last])
+                rows, found = (found & (np.uint64(1) << row_bits) - np.uint64(1)).astype(np.int64) + first_row, found >> row_bits
+                starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                found, codes = found[starts], np.zeros(len(starts), np.uint64)
+                for k in range(DEPTH, -1, -1):
+                    codes = codes << np.uint64(8) | seen[(found >> np.uint64(bits * k) & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64)
+                yield shard, _packed(codes, np.diff(np.append(starts, last - first))), _packed_rows(rows, starts, len(streams))
+
+
+def _row_type(n_rows: int) -> np.dtype:
+    return np.dtype(np.uint16 if n_rows <= 1 << 16 else np.uint32)
+
+
+def _packed_rows(rows: np.ndarray, starts: np.ndarray, n_rows: int) -> bytes:
+    """Rows that ascend from each start to the next, as byte planes of their steps: those of a frequent code are small."""
+    steps, kind = np.diff(rows, prepend=0), _row_type(n_rows)
+    steps[starts] = rows[starts]
+    return zstandard.ZstdCompressor(level=1).compress(steps.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
+
+
+def _unpacked_rows(blob: bytes, counts: np.ndarray, n_rows: int) -> np.ndarray:
+    kind = _row_type(n_rows)
+    steps = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    rows, starts = np.cumsum(steps, dtype=np.int64), np.cumsum(counts) - counts
+    return rows - np.repeat(rows[starts] - steps[starts], counts)
 
 
 def _sums(blob: bytes, rows: bytes, n_rows: int, tables: list[tuple[np.ndarray, ...]]) -> bytes:
     """A shard's part of the scores of a batch's rows."""
     codes, counts = _unpacked(blob)
-    of = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(rows), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return np.bincount(of, np.repeat(likelihoods(codes, tables), counts), n_rows).tobytes()
+    return np.bincount(_unpacked_rows(rows, counts, n_rows), np.repeat(likelihoods(codes, tables), counts), n_rows).tobytes()
+
+
+def _packed_table(batch) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def fit_tree(rows: DataFrame, at: str, shards: int) -> tuple[dict[int, bytes], DataFrame]:
@@ -382,51 +431,52 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = 7, part: int = 2) -
                 own = tokens(text)
                 streams.append(stream(own))
                 own.append(b"\n")
-                logs = [get(w) for w in own]
+                logs = list(map(get, own))
                 rare = Counter([w for w, x in zip(own, logs, strict=True) if x is None]) if None in logs else {}
-                table.append((row, len(own), len(own) - sum(rare.values()), math.fsum(x for x in logs if x is not None), list(rare), list(rare.values())))
+                table.append((row, len(own), len(own) - sum(rare.values()), math.fsum(filter(None, logs)), list(rare), list(rare.values())))
                 row += 1
-            n = len(texts)
-            fixed = [pa.array([k] * n, t) for k, t in ((batch // 7 % shards, pa.int32()), (2, pa.int32()), (batch, pa.int64()), (None, pa.binary()), (None, pa.binary()))]
-            own = [pa.array(c, t) for c, t in zip(zip(*table, strict=True), kinds[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*fixed, *[frame.column(i).slice(first, n) for i in (0, 1)], *own], names)
-            for shard, blob, rows_of in _places(gram_codes(streams), np.repeat(np.arange(n), [len(s) for s in streams]), shards):
-                values = [shard, 1, batch, blob, rows_of, None, None, n, *[None] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *kinds], strict=True)], names)
-
-    def summed(frames):  # a shard's tree (kind 0) comes before what is asked of it (kind 1)
+            own = [*[frame.column(i).slice(first, len(texts)) for i in (0, 1)], *[pa.array(c, t) for c, t in zip(zip(*table, strict=True), kinds, strict=True)]]
+            yield message(batch // 7 % shards, 2, batch, len(texts), _packed_table(pa.RecordBatch.from_arrays(own, names)), None)
+            for shard, blob, rows_of in _places(streams, shards):
+                yield message(shard, 1, batch, len(texts), blob, rows_of)
+
+    def message(*values):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "kind", "batch", "n", "blob", "rows_of"])
+
+    def summed(frames):  # a shard's tree (kind 0, n: context length) comes before what is asked of it (kind 1); kind 2 passes
         import pyarrow as pa
 
         now, levels, tables = None, {}, None
         for frame in frames:
-            sums = []
-            for shard, kind, blob, rows_of, n in zip(*[frame.column(c).to_pylist() for c in ("shard", "kind", "blob", "rows_of", "row")], strict=True):
+            out = []
+            for shard, kind, batch, n, blob, rows_of in zip(*[frame.column(c).to_pylist() for c in ("shard", "kind", "batch", "n", "blob", "rows_of")], strict=True):
                 if shard != now:
                     now, levels, tables = shard, {k: _unpacked(b) for k, b in base_levels.value.items()}, None
                 if kind == 0:
                     levels[n] = _unpacked(blob)
-                elif kind == 1:
+                    continue
+                if kind == 1:
                     tables = _tables(levels) if tables is None else tables
                     blob = _sums(blob, rows_of, n, tables)
-                sums.append(blob if kind == 1 else None)
-            done = frame.set_column(3, "blob", pa.array(sums, pa.binary())).set_column(4, "rows_of", pa.nulls(len(sums), pa.binary()))
-            yield done.filter(pa.array([k > 0 for k in frame.column("kind").to_pylist()], pa.bool_()))
+                out.append((kind, batch, blob))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "batch", "blob"])
 
     def total(table):
         import pyarrow as pa
 
-        sums = [np.frombuffer(b, np.float64) for b in table.column("blob").to_pylist() if b is not None]
-        own = table.filter(pa.array([k == 2 for k in table.column("kind").to_pylist()], pa.bool_()))
-        at = own.column("row").to_numpy() - own.column("batch").to_numpy()
-        return own.select(names[5:]).append_column("score", pa.array(np.sum(sums, axis=0)[at]))
+        kinds, blobs = (table.column(c).to_pylist() for c in ("kind", "blob"))
+        sums = [np.frombuffer(b, np.float64) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        return pa.ipc.open_stream(blobs[kinds.index(2)]).read_all().append_column("score", pa.array(np.sum(sums, axis=0)))
 
-    kinds = (pyarrow.int64(), pyarrow.bool_(), pyarrow.int64(), pyarrow.int64(), pyarrow.int64(), pyarrow.float64(), pyarrow.list_(pyarrow.binary()), pyarrow.list_(pyarrow.int64()))
+    kinds = (pyarrow.int64(), pyarrow.int64(), pyarrow.int64(), pyarrow.float64(), pyarrow.list_(pyarrow.binary()), pyarrow.list_(pyarrow.int64()))
     out = "doc_id long, held_out boolean, row long, n_tokens long, n_common long, logs double, rare array<binary>, times array<long>"
-    names = ["shard", "kind", "batch", "blob", "rows_of", "doc_id", "held_out", "row", "n_tokens", "n_common", "logs", "rare", "times"]
-    wide = f"shard int, kind int, batch long, blob binary, rows_of binary, {out}"
-    trees = tree.select("shard", F.lit(0).alias("kind"), "blob", F.col("k").cast("long").alias("row"))
-    asked = rows.mapInArrow(split, wide).unionByName(trees, allowMissingColumns=True)
-    parts = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(summed, wide)
+    names = ["doc_id", "held_out", "row", "n_tokens", "n_common", "logs", "rare", "times"]
+    trees = tree.select("shard", F.lit(0).alias("kind"), F.col("k").cast("long").alias("n"), "blob")
+    asked = rows.mapInArrow(split, "shard int, kind int, batch long, n long, blob binary, rows_of binary").unionByName(trees, allowMissingColumns=True)
+    parts = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(summed, "kind int, batch long, blob binary")
     table = shared.written(parts.groupBy("batch").applyInArrow(total, f"{out}, score double"), f"{at}/scored")
     rare = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     rest = rare.join(counts, "token").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))
