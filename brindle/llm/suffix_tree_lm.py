@@ -73,7 +73,9 @@ def gram_codes(streams: list[bytes], depth: int = DEPTH, numbers: np.ndarray | N
     codes, size = (buffer if numbers is None else numbers[buffer]).astype(np.uint64), 1
     while size <= depth:  # by doubling: the code from here on, and the last symbols of one further on
         step = min(size, depth + 1 - size)
-        codes, size = codes[:-step] << np.uint64(bits * step) | codes[step:] & np.uint64((1 << bits * step) - 1), size + step
+        longer = codes[:-step] << np.uint64(bits * step)
+        longer |= codes[step:] if step == size else codes[step:] & np.uint64((1 << bits * step) - 1)
+        codes, size = longer, size + step
     real = np.ones(len(buffer), bool)
     ends = np.cumsum([len(s) + depth for s in streams])
     for k in range(depth):
